@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolith.llm import mining
+from chronolith.llm import corpus, mining
 
-MODULES = [mining]
+MODULES = [mining, corpus]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
