@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolith.llm import corpus, mining
+from chronolith.llm import corpus, messages, mining
 
-MODULES = [mining, corpus]
+MODULES = [mining, messages, corpus]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
