@@ -1,11 +1,15 @@
-"""Queries of the problems on tokens: ids of all documents (8) and the mixture of sources (9)."""
+"""Queries of the problems on tokens: ids of all documents (8), the mixture of sources (9).
+
+And of the texts that were cut off (10)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chronolith.llm.mixing import mix, reached
 from chronolith.llm.tokens import token_counts, token_ids
+from chronolith.llm.truncation import score_endings
 from chronolith.session import cut
 from chronolith.sources.tables import table
 
@@ -30,5 +34,21 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reached(_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets"), "source", "n_tokens")
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text stops before the writer's end."""
+    return score_endings(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").where("truncated").select("doc_id")
+
+
+def p10_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source truncates: all documents, those with a text, the truncated ones and their share."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    judged = score_endings(documents, "doc_id", "text", "lang")
+    rows = documents.select("doc_id", "source").join(judged.select("doc_id", "truncated"), "doc_id", "left")
+    counts = rows.groupBy("source").agg(
+        F.count(F.lit(1)).alias("documents"), F.count("truncated").alias("with_text"), F.count_if("truncated").alias("truncated")
+    )
+    return counts.withColumn("truncated_share", F.try_divide("truncated", "with_text"))
+
+
+QUERIES = {"p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_by_source": p10_by_source}
 ORACLES: dict[str, str] = {}
