@@ -1,4 +1,4 @@
-"""Queries of the problems on items: pairs of paths (1) and top findings of a path (5)."""
+"""Queries of the problems on items and keys: pairs of paths (1), top findings of a path (5), authors (7)."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.llm.cooccurrence import cooccurring
+from chronolith.llm.names import entity_pairs, link_names
 from chronolith.llm.topn import top_n
 from chronolith.sources.tables import table
 
@@ -45,6 +46,15 @@ def p5_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top_findings(spark, sf_dir).select("path", "rank", "commit_id", "risk_score", "date")
 
 
+def p7_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entity of every author row that belongs with another one."""
+    return link_names(table(spark, sf_dir, "authors"), "author_id", "name", "email")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity_pairs(p7_entities(spark, sf_dir), "author_id")
+
+
 _PAIRS = """
 with f as (select distinct commit_id, path from file_changes where commit_id is not null and path is not null),
 p as (select path, count(*) as n from f group by path),
@@ -66,7 +76,7 @@ r as (select *, row_number() over (partition by path order by risk_score desc, d
   from e where path is not null)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p5_found": p5_found, "p5_ranked": p5_ranked}
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p5_found": p5_found, "p5_ranked": p5_ranked, "p7_found": p7_found, "p7_entities": p7_entities}
 ORACLES = {
     "p1_found": _PAIRS + "select path_a, path_b from r",
     "p1_pairs": _PAIRS
