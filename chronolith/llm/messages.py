@@ -1,11 +1,12 @@
-"""Queries of the problems on commit messages: near-duplicates (3)."""
+"""Queries of the problems on commit messages: near-duplicates (3) and personal information (6)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from chronolith.llm.neardup import expand, near_duplicates
-from chronolith.sources.tables import commits
+from chronolith.llm.pii import personal_items, redacted
+from chronolith.sources.tables import commits, table
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +16,20 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expand(members, links, "commit_id")
 
 
+PERSONAL = {"message": "text", "author_email": "address"}
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal items of every commit's message and address field."""
+    # redelivered commits are unchanged: their items fall together when the items are made distinct
+    return personal_items(table(spark, sf_dir, "commits").where("commit_id is not null"), "commit_id", PERSONAL)
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages and address fields with typed placeholders."""
+    return redacted(commits(spark, sf_dir, *PERSONAL), "commit_id", PERSONAL)
+
+
 _WORDS = """
 with c as (select distinct commit_id, regexp_extract_all(lower(message), '[a-z0-9]+') as w from commits where message is not null),
 s as (select commit_id, list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) as s
@@ -24,5 +39,5 @@ p as (select a.commit_id as commit_id_a, b.commit_id as commit_id_b, a.n + b.n a
   from d a join d b on a.t = b.t and a.commit_id < b.commit_id group by all)
 """
 
-QUERIES = {"p3_found": p3_found}
+QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p6_redacted": p6_redacted}
 ORACLES = {"p3_found": _WORDS + "select commit_id_a, commit_id_b from p where 2 * k >= n - k"}
