@@ -1,6 +1,6 @@
 """Queries of the problems on tokens: ids of all documents (8), the mixture of sources (9).
 
-And of the texts that were cut off (10)."""
+And of the texts that were cut off (10) and the files that nobody here wrote (2)."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.llm.mixing import mix, reached
+from chronolith.llm.provenance import foreign_files
 from chronolith.llm.tokens import token_counts, token_ids
 from chronolith.llm.truncation import score_endings
 from chronolith.session import cut
@@ -50,5 +51,23 @@ def p10_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("truncated_share", F.try_divide("truncated", "with_text"))
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_by_source": p10_by_source}
+def p2_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why each source file with content is not hand-written here, with its metrics; null if it is."""
+    judged = foreign_files(table(spark, sf_dir, "source_files"), "path", "content")
+    metrics = table(spark, sf_dir, "file_complexity").groupBy("path").agg(
+        F.max("line_count").alias("line_count"), F.max("function_count").alias("function_count")
+    )
+    return judged.join(metrics, "path", "left")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = foreign_files(table(spark, sf_dir, "source_files"), "path", "content")
+    return judged.where("reason is not null").select("path").distinct()
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_files": p2_files,
+    "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_by_source": p10_by_source,
+}
 ORACLES: dict[str, str] = {}
