@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolith.plans import hotkeys
+from chronolith.plans import code, findings, history, hotkeys
 
-MODULES = [hotkeys]
+MODULES = [findings, history, code, hotkeys]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracles() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["p4_found"](spark, sf_dir)
+    return findings.f5_findings(spark, sf_dir).orderBy("risk_score", "commit_id", ascending=[False, True])
