@@ -26,7 +26,7 @@ class Options:
 
     patterns: str = "vuln"
     stale_days: int = 365
-    as_of: str = "2025-01-01 00:00:00"
+    as_of: str = "2026-05-01 00:00:00"
     max_commits: int = 20_000
     files_per_commit: int = 20
     compat_nan: bool = False

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolith.plans import code, findings, history, hotkeys
+from chronolith.plans import code, findings, history, hotkeys, report
 
-MODULES = [findings, history, code, hotkeys]
+MODULES = [findings, history, code, report, hotkeys]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

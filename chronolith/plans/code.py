@@ -126,7 +126,7 @@ _FUNCTION = r"""case when ext = 'rs' then starts_with(t, 'fn ') or contains(t, '
   when ext = 'go' then starts_with(t, 'func ') or contains(t, ' func ') when ext = 'rb' then starts_with(t, 'def ') or contains(t, ' def ')
   when ext = 'php' then contains(t, 'function ') else contains(t, 'function ') or contains(t, 'def ') or contains(t, 'fn ') end"""
 _NAMES = ", ".join(f"('{e}', '{n}')" for e, n in cx.LANGUAGES.items())
-_GIT = """(select 2.0 * count(*) filter (authors = 1) / count(*) + 1.5 * count(*) filter (h.last_commit < timestamptz '2025-01-01 00:00:00+00' - interval 365 days) / count(*)
+_GIT = """(select 2.0 * count(*) filter (authors = 1) / count(*) + 1.5 * count(*) filter (h.last_commit < timestamptz '2026-05-01 00:00:00+00' - interval 365 days) / count(*)
   + greatest(count(*) // 10, 1) / count(*)::double from h)"""
 _CODE = """(select 2.0 * count(*) filter (cyclomatic_complexity > 10) / count(*) from (select distinct k.* from file_complexity k join source_files s on k.path = s.path))"""
 _VULN = "(select least(sum(risk / 10), 5.0) from r)"
