@@ -64,7 +64,7 @@ class GitReader(DataSourceReader):
         elif self.table == "commits":
             yield from self._commits("\n".join(partition.ids))
         else:
-            yield from self._files("\n".join(partition.ids))
+            yield from self._files("\n".join(partition.ids) + "\n")
 
     def _commits(self, ids: str) -> Iterator[tuple]:
         text = _git(self.path, "log", "--no-walk=unsorted", "--stdin", f"--format={_FIELDS}", given=ids)

@@ -31,8 +31,11 @@ def streaming_findings(commits: DataFrame, options: Options = DEFAULT) -> DataFr
     )
 
 
-def commits_per_window(commits: DataFrame, window: str = "7 days", late: str = "30 days") -> DataFrame:
-    """Commits per author and tumbling window of commit time; what is later than ``late`` is left out."""
-    rows = commits.withWatermark("committed_date", late)
+def commits_per_window(commits: DataFrame, window: str = "7 days", late: str | None = "30 days") -> DataFrame:
+    """Commits per author and tumbling window of commit time; what is later than ``late`` is left out.
+
+    Pass ``late`` None for a stream that already has a watermark, such as the result of ``once``.
+    """
+    rows = commits.withWatermark("committed_date", late) if late else commits
     counts = rows.groupBy(F.window("committed_date", window), "author").agg(F.count(F.lit(1)).alias("commits"))
     return counts.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "author", "commits")
