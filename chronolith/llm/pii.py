@@ -95,11 +95,11 @@ def _bare(normal: Normal) -> None:
 
 
 def _spelled(normal: Normal) -> None:
-    edits = [
-        (w.start() + m.start(), w.end() + m.start(), DIGITS[w[0].lower()])
-        for m in _SPELLED.finditer(normal.text)
-        for w in re.finditer(r"[a-z]+", m[0], re.I)
-    ]
+    """Digits in place of their words; what lies between them goes."""
+    edits = []
+    for m in _SPELLED.finditer(normal.text):
+        for w in re.finditer(r"[a-z]+|[^a-z]+", m[0], re.I):
+            edits.append((w.start() + m.start(), w.end() + m.start(), DIGITS.get(w[0].lower(), "")))
     normal.rewrite(edits)
 
 
@@ -159,10 +159,11 @@ _PHONE = re.compile(
     r"|00\d{1,3}(?:[ .-]\d{2,5}){2,5}"
     r"|0[1-9]\d{1,3}(?:/\d{5,9}| \d{3,4} \d{3,4}|-\d{5,8})"
     r"|\d{3}([.-])\d{3}\1\d{4}"
-    r"|\d{10,11}(?<=tel\. .{10}|tel: .{10})"
     r")(?![\w/-]|\.\d)"
 )
 
+_ANNOUNCED_PHONE = re.compile(r"\b(?:tel(?:ephone)?|phone|mobile|cell|fax|call|dial|ring)\b[.:]? *(?P<phone>\+?\d{8,15})(?![\w-])", re.I)
+
 _TITLE = r"(?:(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Mme|M)\.? )?"
 _INITIALS = r"[A-Z](?:\.? ?[A-Z])?\."
 _NAME = (
@@ -203,6 +204,8 @@ def _details(text: str) -> Iterator[tuple[str, int, int]]:
                 yield "id_number", m.start("id"), m.end("id")
         for m in _ID.finditer(text):
             yield "id_number", m.start(), m.end()
+        for m in _ANNOUNCED_PHONE.finditer(text):
+            yield "phone", m.start("phone"), m.end("phone")
         for m in _PHONE.finditer(text):
             if 8 <= sum(c.isdigit() for c in m[0]) <= 15:
                 yield "phone", m.start(), m.end()
