@@ -13,12 +13,10 @@ that pass. What scores is written down as rules, one per line:
 from __future__ import annotations
 
 import re
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.functions.paths import extension, occurrences
+from chronolith.functions.paths import extension
 
 # Languages that share rules, by file extension.
 FAMILIES = {"rs": "rs", "py": "py", "js": "js", "ts": "js", "jsx": "js", "tsx": "js", "java": "java", "cpp": "c", "c": "c", "h": "c",
@@ -215,39 +213,48 @@ def _parsed(rules: str) -> list[tuple[float, list[list[tuple[str, str]]]]]:
     return out
 
 
-def _shows(line: Column, atom: tuple[str, str]) -> Column:
-    how, text = atom
+# What follows writes SQL text: one expression is parsed at once, where thousands of column objects would be built one by one.
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _count(part: str) -> str:
+    return f"((length(x) - length(replace(x, {_text(part)}, ''))) div {len(part)})"
+
+
+def _shows(atom: tuple[str, str]) -> str:
+    how, part = atom
     if how == "^":
-        return F.startswith(line, F.lit(text))
-    if how == "!":
-        return ~F.contains(line, F.lit(text))
+        return f"startswith(x, {_text(part)})"
     if how == "2*":
-        return occurrences(line, text) >= 2
-    return F.contains(line, F.lit(text))
+        return f"{_count(part)} >= 2"
+    return f"{'not ' if how == '!' else ''}contains(x, {_text(part)})"
+
+
+def _all(groups: list[list[tuple[str, str]]]) -> str:
+    return " and ".join(f"({' or '.join(map(_shows, group))})" for group in groups)
 
 
-def _holds(line: Column, rules: str) -> Column:
-    ((_, groups),) = _parsed(rules)
-    return reduce(lambda a, b: a & b, (reduce(lambda a, b: a | b, (_shows(line, x) for x in group)) for group in groups))
+def _holds(rule: str) -> str:
+    ((_, groups),) = _parsed(rule)
+    return f"({_all(groups)})"
 
 
-def _score(line: Column, rules: str) -> Column:
-    total = F.lit(0.0)
+def _score(rules: str) -> str:
+    terms = []
     for weight, groups in _parsed(rules):
         if groups[0][0][0] == "#":
-            total = total + occurrences(line, groups[0][0][1]) * F.lit(weight)
+            terms.append(f"{_count(groups[0][0][1])} * {weight}D")
         else:
-            each = (reduce(lambda a, b: a | b, (_shows(line, x) for x in group)) for group in groups)
-            total = total + F.when(reduce(lambda a, b: a & b, each), F.lit(weight)).otherwise(F.lit(0.0))
-    return total
+            terms.append(f"if({_all(groups)}, {weight}D, 0D)")
+    return f"({' + '.join(terms)})"
 
 
-def _by_family(family: Column, of: dict[str, Column]) -> Column:
-    out = of[""]
-    for name, value in of.items():
-        if name:
-            out = F.when(family == name, value).otherwise(out)
-    return out
+def _by_family(of: dict[str, str]) -> str:
+    cases = " ".join(f"when {_text(name)} then {value}" for name, value in of.items() if name)
+    return f"(case family {cases} else {of['']} end)"
 
 
 def lines(content: Column) -> Column:
@@ -257,12 +264,15 @@ def lines(content: Column) -> Column:
     return F.when(content.isNull() | (content == ""), F.array().cast("array<string>")).otherwise(whole)
 
 
+#: all characters that Unicode calls white space
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
+    return F.btrim(line, F.lit(BLANKS))
 
 
-def _skipped(line: Column) -> Column:
-    return (line == "") | reduce(lambda a, b: a | b, (F.startswith(line, F.lit(p)) for p in ("//", "#", "/*", "*")))
+SKIPPED = "(x = '' or startswith(x, '//') or startswith(x, '#') or startswith(x, '/*') or startswith(x, '*'))"
 
 
 def maintainability(cyclomatic: Column, count: Column) -> Column:
@@ -272,27 +282,35 @@ def maintainability(cyclomatic: Column, count: Column) -> Column:
     return F.when(count == 0, 0.0).when(count == 1, 100.0).otherwise(F.least(F.greatest(value, F.lit(0.0)), F.lit(100.0)))
 
 
-def _pass(line: Column, state: Column, family: Column) -> Column:
-    """The state after a line."""
-    skip = _skipped(line)
-    cyclomatic = _by_family(family, {name: _score(line, rules) for name, rules in CYCLOMATIC.items()})
-    close = F.contains(line, F.lit("}"))
-    open_ = F.contains(line, F.lit("{"))
-    step = F.when(family == "py", _holds(line, PY_OPEN).cast("int")).otherwise(open_.cast("int") - close.cast("int"))
-    level = F.greatest(state["level"] + step, F.lit(0))
-    nested = _score(line, NESTED[""]) + _by_family(family, {k: F.lit(0.0) if not k else _score(line, NESTED[k]) for k in NESTED})
-    flat = _score(line, FLAT[""]) + _by_family(family, {k: F.lit(0.0) if not k else _score(line, FLAT[k]) for k in FLAT})
-    after = F.when(close | (family == "py"), F.greatest(level - 1, F.lit(0))).otherwise(level)
-    opens = F.endswith(line, F.lit("{")) | _holds(line, DEPTH_OPEN)
-    depth = state["depth"] + opens.cast("int")
-    starts = {k: _holds(line, rule) for k, rule in FUNCTIONS.items()} | {"c": _holds(line, C_FUNCTIONS[0]) | _holds(line, C_FUNCTIONS[1])}
+def _read() -> str:
+    """What a trimmed line ``x`` adds, whatever comes before it; each part is evaluated once a line."""
+    own = lambda rules: f"({_score(rules[''])} + {_by_family({k: _score(r) if k else '0D' for k, r in rules.items()})})"
+    score = lambda value: f"if({SKIPPED}, 0D, {value})"
+    starts = {k: _holds(rule) for k, rule in FUNCTIONS.items()} | {"c": f"({_holds(C_FUNCTIONS[0])} or {_holds(C_FUNCTIONS[1])})"}
+    parts = {
+        "cyclomatic": score(_by_family({name: _score(rules) for name, rules in CYCLOMATIC.items()})),
+        "nested": score(own(NESTED)),
+        "flat": score(own(FLAT)),
+        "step": f"if({SKIPPED}, 0, if(family = 'py', int({_holds(PY_OPEN)}), int(contains(x, '{{')) - int(contains(x, '}}'))))",
+        "back": f"int(not {SKIPPED} and (contains(x, '}}') or family = 'py'))",
+        "opens": f"int(endswith(x, '{{') or {_holds(DEPTH_OPEN)})",
+        "closes": "int(startswith(x, '}'))",
+        "functions": f"int({_by_family(starts)})",
+    }
+    return "transform(lines, x -> named_struct(" + ", ".join(f"'{k}', {v}" for k, v in parts.items()) + "))"
+
+
+def _pass(line: Column, state: Column) -> Column:
+    """The state after a line: sums, and the levels, which never fall below zero."""
+    level = F.greatest(state["level"] + line["step"], F.lit(0))
+    depth = state["depth"] + line["opens"]
     return F.struct(
-        (state["cyclomatic"] + F.when(skip, 0.0).otherwise(cyclomatic)).alias("cyclomatic"),
-        (state["cognitive"] + F.when(skip, 0.0).otherwise(nested * (1 + level) + flat)).alias("cognitive"),
-        F.when(skip, state["level"]).otherwise(after).alias("level"),
-        F.when(F.startswith(line, F.lit("}")), F.greatest(depth - 1, F.lit(0))).otherwise(depth).alias("depth"),
-        F.greatest(state["deepest"], F.when(opens, depth).otherwise(0)).alias("deepest"),
-        (state["functions"] + _by_family(family, starts).cast("int")).alias("functions"),
+        (state["cyclomatic"] + line["cyclomatic"]).alias("cyclomatic"),
+        (state["cognitive"] + line["nested"] * (1 + level) + line["flat"]).alias("cognitive"),
+        F.greatest(level - line["back"], F.lit(0)).alias("level"),
+        F.greatest(depth - line["closes"], F.lit(0)).alias("depth"),
+        F.greatest(state["deepest"], depth * line["opens"]).alias("deepest"),
+        (state["functions"] + line["functions"]).alias("functions"),
     )
 
 
@@ -307,7 +325,8 @@ def complexity(files: DataFrame) -> DataFrame:
         F.lit(0).alias("depth"), F.lit(0).alias("deepest"), F.lit(0).alias("functions"),
     )
     rows = files.select("path", F.col("content").isNull().alias("absent"), family.alias("family"), F.transform(lines(F.col("content")), trimmed).alias("lines"))
-    seen = rows.select("path", "absent", F.size("lines").cast("long").alias("line_count"), F.aggregate("lines", start, lambda s, x: _pass(x, s, F.col("family"))).alias("s"))
+    read = rows.select("path", "absent", F.expr(_read()).alias("lines"))
+    seen = read.select("path", "absent", F.size("lines").cast("long").alias("line_count"), F.aggregate("lines", start, lambda s, x: _pass(x, s)).alias("s"))
     zero = lambda value, of: F.when(F.col("absent"), F.lit(of)).otherwise(value)
     return seen.select(
         "path",
@@ -366,7 +385,7 @@ def language_stats(files: DataFrame) -> DataFrame:
         "language",
         F.size("l").alias("lines"),
         F.size(F.filter("l", lambda x: x == "")).alias("blank"),
-        F.size(F.filter("l", lambda x: (x != "") & _skipped(x))).alias("comments"),
+        F.expr(f"size(filter(l, x -> x <> '' and {SKIPPED}))").alias("comments"),
     )
     out = counted.groupBy("language").agg(
         F.count(F.lit(1)).alias("files"), F.sum("lines").alias("lines"), F.sum("blank").alias("blank_lines"), F.sum("comments").alias("comment_lines")

@@ -6,7 +6,9 @@ message is looked at where it lies.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,11 +69,46 @@ def pattern_set(name: str, options: Options = DEFAULT) -> list[Pattern]:
     return chosen + own
 
 
+def literals(regex: str) -> list[str] | None:
+    """One word for each alternative of an expression that every text it matches contains; None if that is not clear."""
+    body = regex.replace(r"\b", "")
+    if body.startswith("(") and body.endswith(")") and body.count("(") == 1:
+        body = body[1:-1]
+    out = []
+    for way in body.split("|"):
+        plain = re.sub(r"\(.*|\[[^\]]*\][?*]?|\\.", " . ", way)
+        words = [] if re.search(r"[*+?{}^$]", plain) else re.findall(r"[A-Za-z0-9]{2,}", plain)
+        if not words:
+            return None
+        out.append(max(words, key=len).lower())
+    return out
+
+
+def _like(text: Column, regexes: list[str], guarded: bool = False) -> Column:
+    """Whether any expression occurs, with words, blanks and case as in Unicode; plain ASCII text needs no Unicode tables.
+
+    ``guarded``: ASCII text is only looked at by the matcher if it has a word that a match needs.
+    """
+    whole = "|".join(f"(?:{r})" for r in regexes)
+    plain = F.octet_length(text) == F.length(text)
+    quick = F.regexp_like(text, F.lit(f"(?i){whole}"))
+    words = [literals(r) for r in regexes]
+    if guarded and all(words):
+        some = sorted({w for ws in words for w in ws})
+        # the array binds the lower-case text, which is then made once and not once for every word
+        quick = F.exists(F.array(F.lower(text)), lambda low: reduce(lambda x, y: x | y, (F.contains(low, F.lit(w)) for w in some))) & quick
+    return F.when(plain, quick).otherwise(F.regexp_like(text, F.lit(f"(?iuU){whole}")))
+
+
+def any_match(message: Column, patterns: list[Pattern]) -> Column:
+    """Whether any pattern occurs: one scan for all of them, which most messages end with."""
+    return _like(F.coalesce(message, F.lit("")), [p.regex for p in patterns], guarded=True) if patterns else F.lit(False)
+
+
 def matches(message: Column, patterns: list[Pattern]) -> Column:
     """Array of structs for the patterns that occur in a message, in their order, with the first text that matches."""
     text = F.coalesce(message, F.lit(""))
     cve = [p for p in patterns if p.name == CVE]
-    # U and u: words, blanks and case as in Unicode
     found = F.regexp_extract(text, f"(?iuU){cve[0].regex}", 1) if cve else F.lit("")
     references = F.when(found != "", F.array(F.concat(F.lit("CVE-"), found))).otherwise(F.array().cast("array<string>"))
     rows = []
@@ -87,7 +124,7 @@ def matches(message: Column, patterns: list[Pattern]) -> Column:
             F.lit(None).cast("bigint").alias("line_number"),
             (references if late else F.array().cast("array<string>")).alias("cve_references"),
         )
-        rows.append(F.when(F.regexp_like(text, F.lit(f"(?iuU){p.regex}")), row))
+        rows.append(F.when(_like(text, [p.regex]), row))
     return F.filter(F.array(*rows), lambda x: x.isNotNull())
 
 
@@ -106,7 +143,7 @@ def findings(commits: DataFrame, files: DataFrame, options: Options = DEFAULT) -
     without files have a risk of 0. Messages are matched before the join, so only commits with a match are shuffled.
     """
     chosen = pattern_set(options.patterns, options)
-    hit = commits.withColumn("matches", matches(F.col("message"), chosen)).where(F.size("matches") > 0)
+    hit = commits.where(any_match(F.col("message"), chosen)).withColumn("matches", matches(F.col("message"), chosen))
     changed = files.groupBy("commit_id").agg(F.array_sort(F.collect_set("path")).alias("files_changed"))
     rows = hit.join(changed, "commit_id", "left").withColumn(
         "files_changed", F.coalesce("files_changed", F.array().cast("array<string>"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.operators.history import high_churn_files, single_author_files, stale_files
 from chronolith.options import DEFAULT, Options
 
 
@@ -15,12 +14,17 @@ def _share(part, whole):
 
 def git_risk(history: DataFrame, options: Options = DEFAULT) -> DataFrame:
     """2 x single-author share + 1.5 x stale share + 1 x high-churn share; 0 without files."""
-    counts = history.agg(F.count(F.lit(1)).alias("files"))
-    for name, part in (("single", single_author_files(history)), ("stale", stale_files(history, options)), ("churn", high_churn_files(history))):
-        counts = counts.withColumn(name, part.agg(F.count(F.lit(1))).scalar())
-    return counts.select(
-        (2.0 * _share(F.col("single"), F.col("files")) + 1.5 * _share(F.col("stale"), F.col("files")) + _share(F.col("churn"), F.col("files"))).alias("git_risk")
+    # one pass: how many files are kept as high-churn is known from how many there are
+    n = F.count(F.lit(1))
+    limit = F.lit(options.as_of).cast("timestamp") - F.expr(f"INTERVAL {options.stale_days} DAYS")
+    counts = history.agg(
+        n.alias("files"),
+        F.count_if(F.col("authors") == 1).alias("single"),
+        F.count_if(F.col("last_commit") < limit).alias("stale"),
+        F.least(F.greatest(F.floor(n / 10), F.lit(1)), n).alias("churn"),
     )
+    share = {name: _share(F.col(name), F.col("files")) for name in ("single", "stale", "churn")}
+    return counts.select((2.0 * share["single"] + 1.5 * share["stale"] + share["churn"]).alias("git_risk"))
 
 
 def code_risk(metrics: DataFrame, outdated: int = 0, vulnerable: int = 0) -> DataFrame:

@@ -20,9 +20,10 @@ def once(commits: DataFrame, late: str = "30 days") -> DataFrame:
 
 def streaming_findings(commits: DataFrame, options: Options = DEFAULT) -> DataFrame:
     """Findings of a stream of commits that carry their files in ``files_changed`` (an array, null for none)."""
-    rows = commits.withColumn("matches", pt.matches(F.col("message"), pt.pattern_set(options.patterns, options)))
+    chosen = pt.pattern_set(options.patterns, options)
+    rows = commits.where(pt.any_match(F.col("message"), chosen)).withColumn("matches", pt.matches(F.col("message"), chosen))
     files = F.coalesce(F.size(F.array_distinct("files_changed")), F.lit(0))
-    return rows.where(F.size("matches") > 0).select(
+    return rows.select(
         "commit_id",
         "author",
         "committed_date",
