@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronolith.functions.paths import second
 from chronolith.operators.treeagg import hot_keys, tree_aggregate
 from chronolith.sources.tables import changed_files, commits
 
@@ -34,7 +35,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_name_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per author name: commits, lines added and removed, first and last commit."""
     rows = commits(spark, sf_dir, "author", "insertions", "deletions", "authored_date")
-    return tree_aggregate(
+    sums = tree_aggregate(
         rows.where(F.col("author").isNotNull()),
         ["author"],
         {
@@ -45,6 +46,7 @@ def p4_name_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
             "last_commit": ("max", "authored_date"),
         },
     )
+    return sums.withColumns({c: second(F.col(c)) for c in ("first_commit", "last_commit")})
 
 
 _COUNTS = """
@@ -60,6 +62,7 @@ ORACLES = {
     "p4_found": _COUNTS + "select field, key_value from t where share >= 0.015",
     "p4_key_counts": _COUNTS + "select field, key_value, n, round(share, 9) as share, share >= 0.015 as hot from t",
     "p4_name_stats": """select author, count(*) as commits, cast(sum(insertions) as bigint) as lines_added,
-  cast(sum(deletions) as bigint) as lines_removed, min(authored_date) as first_commit, max(authored_date) as last_commit
+  cast(sum(deletions) as bigint) as lines_removed, strftime(min(authored_date) at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as first_commit,
+  strftime(max(authored_date) at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as last_commit
   from (select distinct * from commits) where author is not null group by author""",
 }

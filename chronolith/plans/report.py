@@ -11,6 +11,7 @@ from chronolith.operators import history as hs
 from chronolith.operators import views as vw
 from chronolith.options import DEFAULT
 from chronolith.plans.base import REMOTE, SQL, findings, history, stamp
+from chronolith.plans.code import ORACLES as CODE
 from chronolith.plans.code import _known
 from chronolith.sources.tables import changed_files, commits, table
 
@@ -326,5 +327,13 @@ ORACLES = {
         for m, o in _ORDER.items()
     },
     **{f"t9_sort_{m.replace('-', '_')}": f"select path from ({_KNOWN}) order by {o}, path limit 25" for m, o in _METRIC_ORDER.items()},
+    **{
+        f"t9_sort_{m}": f"select path from ({CODE[of]}) where path in (select path from file_complexity) order by {o}, path limit 25"
+        for m, of, o in (
+            ("cognitive_desc", "a18_cognitive", "cognitive_complexity desc"),
+            ("cognitive_asc", "a18_cognitive", "cognitive_complexity"),
+            ("functions_desc", "a19_functions", "function_count desc"),
+        )
+    },
     **{f"t10_sort_{m.replace('-', '_')}": SQL + _AREA + f"select file from ar order by {o}, file limit 25" for m, o in _AREA_ORDER.items()},
 }
