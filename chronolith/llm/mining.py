@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronolith.functions.paths import second
 from chronolith.llm.cooccurrence import cooccurring
 from chronolith.llm.names import entity_pairs, link_names
 from chronolith.llm.topn import top_n
@@ -43,7 +44,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three findings of highest risk of every path, with rank and score."""
-    return _top_findings(spark, sf_dir).select("path", "rank", "commit_id", "risk_score", "date")
+    return _top_findings(spark, sf_dir).select("path", "rank", "commit_id", "risk_score", second(F.col("date")).alias("date"))
 
 
 def p7_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,5 +83,5 @@ ORACLES = {
     "p1_pairs": _PAIRS
     + f"select path_a, path_b, n_ab, n_a, n_b, round(n_ab * n / (n_a::double * n_b), 6) as lift, round({_LLR}, 6) as llr from r",
     "p5_found": _TOP + "select path, commit_id from r where rank <= 3",
-    "p5_ranked": _TOP + "select path, cast(rank as int) as rank, commit_id, risk_score, date from r where rank <= 3",
+    "p5_ranked": _TOP + "select path, cast(rank as int) as rank, commit_id, risk_score, strftime(date at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as date from r where rank <= 3",
 }
