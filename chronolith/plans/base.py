@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chronolith.operators import complexity as cx
 from chronolith.operators import history as hs
@@ -13,11 +14,11 @@ from chronolith.sources.tables import changed_files, commits, table
 ALL = Options(patterns="all")
 REMOTE = "git@github.com:lantern/lantern-core.git"
 
-META = ("message", "author", "author_email", "authored_date", "committed_date", "insertions", "deletions")
+AUTHORS = ("author", "author_email", "authored_date", "insertions", "deletions")
 
 
-def all_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return commits(spark, sf_dir, *META)
+def author_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return commits(spark, sf_dir, *AUTHORS)
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +27,9 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings(spark: SparkSession, sf_dir: str, options: Options = ALL) -> DataFrame:
-    rows = commits(spark, sf_dir, "message", "author", "authored_date")
-    return pt.findings(rows, changed_files(spark, sf_dir), options)
+    # messages without a match go before anything is shuffled
+    hit = pt.any_match(F.col("message"), pt.pattern_set(options.patterns, options))
+    return pt.findings(commits(spark, sf_dir, "message", "author", "authored_date", where=hit), changed_files(spark, sf_dir), options)
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +75,4 @@ def stamp(column: str) -> str:
     return STAMP.format(column)
 
 
-__all__ = ["ALL", "DEFAULT", "META", "REMOTE", "SQL", "all_commits", "findings", "history", "metrics", "stamp"]
+__all__ = ["ALL", "AUTHORS", "DEFAULT", "REMOTE", "SQL", "author_commits", "findings", "history", "metrics", "stamp"]

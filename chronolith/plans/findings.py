@@ -17,10 +17,9 @@ def s16_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j2_pattern_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = commits(spark, sf_dir, "message")
     chosen = pt.pattern_set("all")
-    hit = rows.where(pt.any_match(F.col("message"), chosen))
-    exploded = hit.select("commit_id", F.explode(pt.matches(F.col("message"), chosen)).alias("m"))
+    rows = commits(spark, sf_dir, "message", where=pt.any_match(F.col("message"), chosen))
+    exploded = rows.select("commit_id", F.explode(pt.matches(F.col("message"), chosen)).alias("m"))
     return exploded.select(
         "commit_id", "m.ord", "m.pattern_name", "m.matched_text", "m.severity", "m.category",
         F.array_join("m.cve_references", ",").alias("cve"),

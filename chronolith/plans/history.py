@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronolith.functions.paths import second
 from chronolith.operators import history as hs
 from chronolith.options import DEFAULT, Options
-from chronolith.plans.base import SQL, all_commits, history, stamp
+from chronolith.plans.base import SQL, author_commits, history, stamp
 from chronolith.sources.tables import changed_files, commits, table
 
 
@@ -19,7 +19,7 @@ def s4_newest_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def s5_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every commit once; a null message is an empty one."""
-    rows = all_commits(spark, sf_dir)
+    rows = commits(spark, sf_dir, "message", "author", "author_email", "authored_date")
     return rows.select("commit_id", F.coalesce("message", F.lit("")).alias("message"), "author", "author_email", second(F.col("authored_date")).alias("authored_date"))
 
 
@@ -35,12 +35,12 @@ def w5_file_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a1_repo_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = hs.repository_totals(all_commits(spark, sf_dir), changed_files(spark, sf_dir))
+    rows = hs.repository_totals(author_commits(spark, sf_dir), changed_files(spark, sf_dir))
     return rows.select("total_commits", "total_authors", "total_files", second(F.col("first_commit")).alias("first_commit"), second(F.col("last_commit")).alias("last_commit"))
 
 
 def _authors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hs.author_stats(all_commits(spark, sf_dir), changed_files(spark, sf_dir))
+    return hs.author_stats(author_commits(spark, sf_dir), changed_files(spark, sf_dir))
 
 
 def _author_rows(rows: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ changed file once per ``(commit_id, path)``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,13 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def commits(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Each commit once, with ``commit_id`` and the given columns.
+def commits(spark: SparkSession, sf_dir: str, *columns: str, where: Column | None = None) -> DataFrame:
+    """Each commit once, with ``commit_id`` and the given columns; take only those that are needed, they are shuffled.
 
     Redelivered rows are unchanged, so any row of a commit stands for it; ``max`` over the struct keeps the choice
-    the same on every run should rows differ. A null ``commit_id`` is no commit and is left out.
+    the same on every run should rows differ. ``where`` filters rows before they are shuffled. A null ``commit_id`` is
+    no commit and is left out.
     """
     rows = table(spark, sf_dir, "commits").where(F.col("commit_id").isNotNull())
+    if where is not None:
+        rows = rows.where(where)
     if not columns:
         return rows.select("commit_id").distinct()
     picked = rows.groupBy("commit_id").agg(F.max(F.struct(*columns)).alias("_row"))
