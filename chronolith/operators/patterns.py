@@ -69,8 +69,10 @@ def pattern_set(name: str, options: Options = DEFAULT) -> list[Pattern]:
     return chosen + own
 
 
-def literals(regex: str) -> list[str] | None:
-    """One word for each alternative of an expression that every text it matches contains; None if that is not clear."""
+def needed_words(regex: str) -> list[list[str]] | None:
+    """For each alternative of an expression, words that every text it matches contains; None if that is not clear."""
+    if re.search(r"\\[A-Z]", regex):
+        return None
     body = regex.replace(r"\b", "")
     if body.startswith("(") and body.endswith(")") and body.count("(") == 1:
         body = body[1:-1]
@@ -80,29 +82,42 @@ def literals(regex: str) -> list[str] | None:
         words = [] if re.search(r"[*+?{}^$]", plain) else re.findall(r"[A-Za-z0-9]{2,}", plain)
         if not words:
             return None
-        out.append(max(words, key=len).lower())
+        out.append([w.lower() for w in words])
     return out
 
 
-def _like(text: Column, regexes: list[str], guarded: bool = False) -> Column:
-    """Whether any expression occurs, with words, blanks and case as in Unicode; plain ASCII text needs no Unicode tables.
+def _any(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
 
-    ``guarded``: ASCII text is only looked at by the matcher if it has a word that a match needs.
-    """
-    whole = "|".join(f"(?:{r})" for r in regexes)
+
+def _like(text: Column, regex: str) -> Column:
+    """Whether an expression occurs, with words, blanks and case as in Unicode; plain ASCII text needs no such tables."""
     plain = F.octet_length(text) == F.length(text)
-    quick = F.regexp_like(text, F.lit(f"(?i){whole}"))
-    words = [literals(r) for r in regexes]
-    if guarded and all(words):
-        some = sorted({w for ws in words for w in ws})
-        # the array binds the lower-case text, which is then made once and not once for every word
-        quick = F.exists(F.array(F.lower(text)), lambda low: reduce(lambda x, y: x | y, (F.contains(low, F.lit(w)) for w in some))) & quick
-    return F.when(plain, quick).otherwise(F.regexp_like(text, F.lit(f"(?iuU){whole}")))
+    return F.when(plain, F.regexp_like(text, F.lit(f"(?i){regex}"))).otherwise(F.regexp_like(text, F.lit(f"(?iuU){regex}")))
 
 
 def any_match(message: Column, patterns: list[Pattern]) -> Column:
-    """Whether any pattern occurs: one scan for all of them, which most messages end with."""
-    return _like(F.coalesce(message, F.lit("")), [p.regex for p in patterns], guarded=True) if patterns else F.lit(False)
+    """Whether any pattern occurs.
+
+    In ASCII text an expression is only tried where the words it needs are found, and on the lower-case text, which an
+    array binds so that it is made once. Other texts are scanned by all expressions at once.
+    """
+    if not patterns:
+        return F.lit(False)
+    text = F.coalesce(message, F.lit(""))
+    whole = F.regexp_like(text, F.lit("(?iuU)" + "|".join(f"(?:{p.regex})" for p in patterns)))
+    words = [needed_words(p.regex) for p in patterns]
+    if not all(words):
+        return whole
+
+    def quick(low: Column) -> Column:
+        tries = []
+        for p, ways in zip(patterns, words, strict=True):
+            has = _any([reduce(lambda a, b: a & b, (F.contains(low, F.lit(w)) for w in way)) for way in ways])
+            tries.append(has & F.regexp_like(low, F.lit(p.regex.lower())))
+        return _any(tries)
+
+    return F.when(F.octet_length(text) == F.length(text), F.exists(F.array(F.lower(text)), quick)).otherwise(whole)
 
 
 def matches(message: Column, patterns: list[Pattern]) -> Column:
@@ -124,7 +139,7 @@ def matches(message: Column, patterns: list[Pattern]) -> Column:
             F.lit(None).cast("bigint").alias("line_number"),
             (references if late else F.array().cast("array<string>")).alias("cve_references"),
         )
-        rows.append(F.when(_like(text, [p.regex]), row))
+        rows.append(F.when(_like(text, p.regex), row))
     return F.filter(F.array(*rows), lambda x: x.isNotNull())
 
 
