@@ -135,6 +135,45 @@ def test_a_block_larger_than_the_limit_loses_no_whole_name(spark, monkeypatch):
     assert nm.entity_pairs(nm.link_names(df, "author_id", "name", "email"), "author_id").count() == 36
 
 
+def _linked(spark, rows):
+    df = spark.createDataFrame(rows, "author_id long, name string, email string")
+    return {(r.author_id_a, r.author_id_b) for r in nm.entity_pairs(nm.link_names(df, "author_id", "name", "email"), "author_id").collect()}
+
+
+@pytest.mark.parametrize("most", [2, 60])
+def test_a_family_larger_than_a_block_loses_no_variant(spark, monkeypatch, most):
+    monkeypatch.setattr(nm, "MOST_ROWS", most)
+    rng = random.Random(5)
+    others = [(100 + k, f"{rng.choice('PQR') if k % 2 else 'J'}{'aeiou'[k % 5]}{''.join(rng.sample('bcdfghjklmnpqrstvwxz', 8))} Fenandt", None) for k in range(150)]
+    rows = [
+        (1, "Theodore Fenandt", "theodore.fenandt@a.example"), (2, "T. Fenandt", None), (3, "Fenandt, T.", "x@y.example"), (4, "Theodroe Fenandt", None),
+        (5, "tfenandt", "tfenandt@b.example"), (6, "Fenandt, Theo", None), (7, "Theodore Fenadnt", None), (8, "J. Fenandt", None),
+    ]
+    assert _linked(spark, rows + others) == set(combinations(range(1, 8), 2))
+
+
+def test_blocks_hold_every_pair_the_comparison_accepts(spark, monkeypatch):
+    monkeypatch.setattr(nm, "MOST_ROWS", 3)
+    rng = random.Random(6)
+    families, given = ["Fenandt", "Fenadnt", "Fenand", "Kim", "Lee", "Ulvoc", "Ulvocc", "Ulvcoc"], ["Robert", "Bob", "R.", "Rob", "Roebrt", "Ilse", "I.", "Il", "Zoe"]
+    rows = []
+    for k in range(120):
+        f, g = rng.choice(families), rng.choice(given)
+        name = rng.choice([f"{g} {f}", f"{f}, {g}", f"{g[0]}{f}".lower(), f"{f} Runtime Team", f"The Team {f} Labs", f"{f.lower()}-bot", g])
+        rows.append((k, name, rng.choice([None, f"{g[0]}{f}@x.example".lower(), f"{g}.{f}@y.example".lower().replace("..", "."), f"{g}@{f}.example".lower().replace(".@", "@")])))
+    df = spark.createDataFrame(rows, "id long, name string, email string")
+    readings = nm._readings(df.mapInPandas(nm._read, f"id long, {nm.READING}")).localCheckpoint()
+    own = {r.reading: {**r.asDict(), "least": None} for r in readings.collect()}
+    want = {(a, b) for a in own for b in own if (a < b or a == b and own[a]["n"] > 1) and nm.compare(own[a], own[b])}
+    met = {(r.a, r.b) for r in nm._pairs(readings).collect()}
+    assert len(want) > 50 and want <= met
+
+
+def test_repeated_keys_are_one_node(spark):
+    rows = [(1, "Robert Fenandt", None), (1, "Ilse Ulvoc", None), (2, "Bob Fenandt", None), (3, "Ilse Ulvoc", None), (4, "Zoe Ulvoc", None)]
+    assert _linked(spark, rows) == {(1, 2), (1, 3), (2, 3)}
+
+
 def test_subsequences():
     def plain(a, b):
         row = [0] * (len(b) + 1)
