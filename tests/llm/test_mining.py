@@ -174,6 +174,16 @@ def test_repeated_keys_are_one_node(spark):
     assert _linked(spark, rows) == {(1, 2), (1, 3), (2, 3)}
 
 
+@pytest.mark.parametrize("family", ["Kim", "Wang"])
+def test_variants_of_short_family_names(spark, family):
+    low = family.lower()
+    rows = [
+        (1, f"Theodore {family}", f"theodore.{low}@a.example"), (2, f"T. {family} <t.{low}@b.example>", f"t.{low}@b.example"), (3, f"{family}, Theodroe", None),
+        (4, f"t{low}", f"t{low}@c.example"), (5, f"{family}, Theo", "x@y.example"), (6, f"theo.{low}", None), (7, f"Ilse {family}", f"ilse@{low}.example"),
+    ]
+    assert _linked(spark, rows) == set(combinations(range(1, 7), 2))
+
+
 def test_subsequences():
     def plain(a, b):
         row = [0] * (len(b) + 1)
