@@ -24,22 +24,16 @@ def s11_language_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cx.language_stats(table(spark, sf_dir, "source_files"))
 
 
-def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of the files whose metrics are also given as a table, to be held against it."""
-    given = table(spark, sf_dir, "file_complexity").select("path").distinct()
-    return cx.complexity(table(spark, sf_dir, "source_files")).join(given, "path", "left_semi")
-
-
 def a17_cyclomatic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _known(spark, sf_dir).select("path", "cyclomatic_complexity")
+    return metrics(spark, sf_dir).select("path", "cyclomatic_complexity")
 
 
 def w2_max_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _known(spark, sf_dir).select("path", "nesting_depth")
+    return metrics(spark, sf_dir).select("path", "nesting_depth")
 
 
 def m5_maintainability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _known(spark, sf_dir).select("path", "line_count", F.round("maintainability_index", 6).alias("maintainability_index"))
+    return metrics(spark, sf_dir).select("path", "line_count", F.round("maintainability_index", 6).alias("maintainability_index"))
 
 
 def a18_cognitive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,11 +45,11 @@ def a19_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f6_high_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cx.high_complexity(_known(spark, sf_dir)).select("path", "cyclomatic_complexity")
+    return cx.high_complexity(metrics(spark, sf_dir)).select("path", "cyclomatic_complexity")
 
 
 def rf_risk_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cx.risk_factors(_known(spark, sf_dir))
+    return cx.risk_factors(metrics(spark, sf_dir))
 
 
 def a6_git_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +57,7 @@ def a6_git_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a7_code_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rk.code_risk(_known(spark, sf_dir)).select(F.round("code_risk", 6).alias("code_risk"))
+    return rk.code_risk(metrics(spark, sf_dir)).select(F.round("code_risk", 6).alias("code_risk"))
 
 
 def a8_vuln_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +65,7 @@ def a8_vuln_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a9_overall_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rk.overall_risk(rk.git_risk(history(spark, sf_dir)), rk.code_risk(_known(spark, sf_dir)), rk.vulnerability_risk(findings(spark, sf_dir)))
+    rows = rk.overall_risk(rk.git_risk(history(spark, sf_dir)), rk.code_risk(metrics(spark, sf_dir)), rk.vulnerability_risk(findings(spark, sf_dir)))
     return rows.select(*(F.round(c, 6).alias(c) for c in ("git_risk", "code_risk", "vulnerability_risk", "overall_risk")), "risk_percent")
 
 

@@ -10,9 +10,8 @@ from chronolith.functions.paths import extension, first_line, second, short_id,
 from chronolith.operators import history as hs
 from chronolith.operators import views as vw
 from chronolith.options import DEFAULT
-from chronolith.plans.base import REMOTE, SQL, findings, history, stamp
+from chronolith.plans.base import REMOTE, SQL, findings, history, metrics, stamp
 from chronolith.plans.code import ORACLES as CODE
-from chronolith.plans.code import _known
 from chronolith.sources.tables import changed_files, commits, table
 
 BASE = "https://github.com/lantern/lantern-core"
@@ -169,7 +168,7 @@ def f10_author(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f11_ext_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vw.filter_metrics(_known(spark, sf_dir), "src", "rs").select("path")
+    return vw.filter_metrics(metrics(spark, sf_dir), "src", "rs").select("path")
 
 
 def f12_heat_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +190,7 @@ def _sorted(mode: str):
 
 def _metric_sorted(mode: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return vw.page(_known(spark, sf_dir), vw.ordering(vw.METRIC_SORTS, mode, "path"), 1, 25).select("path")
+        return vw.page(metrics(spark, sf_dir), vw.ordering(vw.METRIC_SORTS, mode, "path"), 1, 25).select("path")
 
     return query
 

@@ -7,6 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from chronolith.operators import complexity as cx
+from chronolith.operators import views as vw
+from chronolith.plans import code, report
 
 
 def metrics(spark, path, content):
@@ -81,3 +83,18 @@ def test_risk_factors(spark):
     rows = spark.createDataFrame([("a", 15.0, 6), ("b", 15.5, 5), ("c", 26.0, 9)], "path string, cyclomatic_complexity double, nesting_depth long")
     got = {tuple(r) for r in cx.risk_factors(rows).collect()}
     assert got == {("a", "DeepNesting", "Medium"), ("b", "HighComplexity", "Medium"), ("c", "HighComplexity", "High"), ("c", "DeepNesting", "Medium")}
+
+
+def test_files_that_the_given_metrics_lack_count_too(spark, tmp_path):
+    """``file_complexity`` lacks b.rs, and has notes.txt that is no source file; the queries go by ``source_files`` alone."""
+    files = [("src/a.rs", "fn a() {\n}\n"), ("src/b.rs", "if x {\n" * 30), ("notes.txt", "if x {\n" * 30)]
+    spark.createDataFrame(files, "path string, content string").write.parquet(str(tmp_path / "source_files.parquet"))
+    given = spark.createDataFrame([("src/a.rs", 1.0, 1), ("notes.txt", 31.0, 30)], "path string, cyclomatic_complexity double, nesting_depth long")
+    given.write.parquet(str(tmp_path / "file_complexity.parquet"))
+    paths = lambda query: {r.path for r in query(spark, str(tmp_path)).collect()}
+    for query in (code.a17_cyclomatic, code.w2_max_nesting, code.m5_maintainability, report.QUERIES["f11_ext_filter"]):
+        assert paths(query) == {"src/a.rs", "src/b.rs"}
+    assert paths(code.f6_high_complexity) == paths(code.rf_risk_factors) == {"src/b.rs"}
+    assert code.a7_code_risk(spark, str(tmp_path)).first().code_risk == 1.0
+    for mode in vw.METRIC_SORTS:
+        assert paths(report.QUERIES[f"t9_sort_{mode.replace('-', '_')}"]) == {"src/a.rs", "src/b.rs"}
