@@ -4,21 +4,19 @@ from __future__ import annotations
 
 import html
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import chain
 from pathlib import Path
 from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: rows of a table that a single document shows; the tables themselves are written whole by ``write_tables``
-SHOWN = 1_000
-
 
 class Output(Protocol):
-    """A way of rendering the tables of a report; register one's own in ``FORMATS``."""
+    """A way of rendering the tables of a report, as one text or in parts; register one's own in ``FORMATS``."""
 
-    def __call__(self, tables: dict[str, DataFrame], cve_only: bool = False, include_stats: bool = False) -> str: ...
+    def __call__(self, tables: dict[str, DataFrame], cve_only: bool = False, include_stats: bool = False) -> str | Iterator[str]: ...
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
@@ -27,13 +25,22 @@ def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
         rows.write.mode("overwrite").json(f"{folder}/{name}")
 
 
-def _rows(rows: DataFrame, most: int = SHOWN) -> list[dict]:
-    return [json.loads(r[0]) for r in rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).limit(most).collect()]
+def _rows(rows: DataFrame) -> Iterator[dict]:
+    """All rows in order, one partition at a time in the driver."""
+    for row in rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator():
+        yield json.loads(row[0])
 
 
-def json_document(tables: dict[str, DataFrame], cve_only: bool = False, include_stats: bool = False) -> str:
-    """All tables in one indented document; the options do not filter it."""
-    return json.dumps({name: _rows(rows) for name, rows in tables.items()}, indent=2, ensure_ascii=False)
+def json_document(tables: dict[str, DataFrame], cve_only: bool = False, include_stats: bool = False) -> Iterator[str]:
+    """All rows of all tables in one indented document, in parts; the options do not filter it."""
+    yield "{"
+    for n, (name, rows) in enumerate(tables.items()):
+        yield f"{',' if n else ''}\n  {json.dumps(name, ensure_ascii=False)}: ["
+        k = -1
+        for k, row in enumerate(_rows(rows)):
+            yield f"{',' if k else ''}\n    " + json.dumps(row, indent=2, ensure_ascii=False).replace("\n", "\n    ")
+        yield "\n  ]" if k >= 0 else "]"
+    yield "\n}"
 
 
 SECTIONS = {
@@ -44,18 +51,23 @@ SECTIONS = {
 STATS_ONLY = {"stats", "code_quality", "heatmap", "tests"}
 
 
-def _table(rows: list[dict]) -> str:
-    if not rows:
-        return "<p>No rows.</p>"
-    head = "".join(f"<th>{html.escape(c)}</th>" for c in rows[0])
+def _table(rows: Iterator[dict]) -> Iterator[str]:
+    first = next(rows, None)
+    if first is None:
+        yield "<p>No rows.</p>"
+        return
+    head = "".join(f"<th>{html.escape(c)}</th>" for c in first)
     show = lambda v: html.escape(v if isinstance(v, str) else json.dumps(v, ensure_ascii=False))
-    body = "".join("<tr>" + "".join(f"<td>{'' if v is None else show(v)}</td>" for v in r.values()) + "</tr>" for r in rows)
-    return f"<table><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table>"
+    yield f"<table><thead><tr>{head}</tr></thead><tbody>"
+    for r in chain([first], rows):
+        yield "<tr>" + "".join(f"<td>{'' if v is None else show(v)}</td>" for v in r.values()) + "</tr>"
+    yield "</tbody></table>"
 
 
-def html_document(tables: dict[str, DataFrame], cve_only: bool = False, include_stats: bool = False) -> str:
-    """A page with a section per table; findings only if there are any, statistics only if asked for."""
-    parts = []
+def html_document(tables: dict[str, DataFrame], cve_only: bool = False, include_stats: bool = False) -> Iterator[str]:
+    """A page with a section per table and all its rows, in parts; findings only if there are any, statistics only if asked for."""
+    style = "body{font-family:sans-serif;margin:2em}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:.2em .5em;text-align:left}"
+    yield f"<!doctype html><html><head><meta charset='utf-8'><title>Report</title><style>{style}</style></head><body>"
     for name, title in SECTIONS.items():
         if name not in tables or (name in STATS_ONLY and not include_stats):
             continue
@@ -63,10 +75,15 @@ def html_document(tables: dict[str, DataFrame], cve_only: bool = False, include_
         if name == "vulnerabilities" and cve_only:
             shown = shown.where(F.size("cve_references") > 0)
         rows = _rows(shown)
-        if rows or name != "vulnerabilities":
-            parts.append(f"<section id='{name}'><h2>{title}</h2>{_table(rows)}</section>")
-    style = "body{font-family:sans-serif;margin:2em}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:.2em .5em;text-align:left}"
-    return f"<!doctype html><html><head><meta charset='utf-8'><title>Report</title><style>{style}</style></head><body>{''.join(parts)}</body></html>"
+        if name == "vulnerabilities":
+            first = next(rows, None)
+            if first is None:
+                continue
+            rows = chain([first], rows)
+        yield f"<section id='{name}'><h2>{title}</h2>"
+        yield from _table(rows)
+        yield "</section>"
+    yield "</body></html>"
 
 
 FORMATS: dict[str, Output | Callable[..., str]] = {"html": html_document, "json": json_document}
@@ -85,5 +102,9 @@ def write_report(tables: dict[str, DataFrame], path: str, kind: str = "html", cv
     """Render and write a report, replacing the file; returns where it is."""
     kind = format_of(kind)
     target = with_extension(path, kind)
-    Path(target).write_text(FORMATS[kind](tables, cve_only, include_stats), encoding="utf-8")
+    made = FORMATS[kind](tables, cve_only, include_stats)
+    part = Path(f"{target}.part")
+    with part.open("w", encoding="utf-8") as file:
+        file.writelines([made] if isinstance(made, str) else made)
+    part.replace(target)
     return target

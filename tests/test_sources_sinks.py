@@ -9,7 +9,7 @@ import pytest
 
 from chronolith.engine import Analysis, analyse_repository, arguments
 from chronolith.options import Options
-from chronolith.sinks.report import format_of, with_extension, write_tables
+from chronolith.sinks.report import format_of, with_extension, write_report, write_tables
 from chronolith.sources.files import read_tree
 from chronolith.sources.git import read_git, remote_url
 from chronolith.sources.manifests import dependency_counts
@@ -73,6 +73,16 @@ def test_tables_as_json(spark, repo, tmp_path):
     assert spark.read.json(str(tmp_path / "top")).first()["commits"] == 2
 
 
+def test_a_report_has_all_rows(spark, tmp_path):
+    rows = spark.range(2500).selectExpr("id", "concat('p', id) as path", "cast(null as string) as owner").orderBy("id")
+    tables = {"heatmap": rows, "stats": rows.limit(0)}
+    page = open(write_report(tables, str(tmp_path / "r"), "html", include_stats=True), encoding="utf-8").read()
+    assert page.count("<tr>") == 2501 and "<td>p2499</td>" in page and "No rows." in page
+    text = open(write_report(tables, str(tmp_path / "r"), "json"), encoding="utf-8").read()
+    want = {"heatmap": [{"id": k, "path": f"p{k}", "owner": None} for k in range(2500)], "stats": []}
+    assert text == json.dumps(want, indent=2)
+
+
 def test_formats():
     assert [format_of(x) for x in ("HTML", "json", "pdf")] == ["html", "json", "html"]
     assert with_extension("a", "json") == "a.json" and with_extension("a.html", "html") == "a.html"
