@@ -35,18 +35,20 @@ _LITERALS = re.compile(rf"(?:{_NUMBER.pattern}[\s,;()\[\]{{}}]*){{6,}}")
 _ENCODED = re.compile(r"[\"'`][A-Za-z0-9+/=_-]{40,}[\"'`]|(?:\\x[0-9a-fA-F]{2}){16,}")
 _NUMBERED = re.compile(r"[A-Za-z]_?(\d{1,6})\b")
 _NOTICE = re.compile(
-    r"@generated\b|\bauto-?\s?generated\b|\bautomatically generated\b|\b(?:code|file) generated by\b|^\W*generated (?:by|from|with)\b|"
+    r"@generated\b|\bauto-?\s?generated\b|\bautomatically generated\b|\b(?:code|file) generated by\b|^[^\w\n]*generated (?:by|from|with)\b|"
     r"\bmachine-(?:made|generated)\b|\b(?:erzeugt|generiert) (?:von|mit|durch)\b|\bgénéré (?:par|automatiquement)\b|\bgenerado (?:por|automáticamente)\b|"
     r"\bсгенерирован|\bdo not (?:edit|modify)\b.{0,40}\b(?:generat|manual|by hand)|\b(?:changes|edits) will be (?:lost|overwritten)\b",
     re.I | re.M,
 )
 _FOREIGN = re.compile(
     r"\b(?:imported|copied|taken|vendored) (?:unchanged |verbatim |unmodified )?from (?!.*\bwe used\b)[\w.-]+|\bupstream release\b|\breport bugs upstream\b|"
-    r"^\W*version v?\d+(?:\.\d+)+ of [\w.-]+|\bcopyright (?:\(c\) |© )?\d{4}(?:-\d{4})? (?:the |by )?(?P<who>[\w.-]+)(?P<kind> (?:authors|project|developers|contributors|team|foundation))?|"
-    r"^\W*(?:\(c\)|©) ?\d{4}(?:-\d{4})? (?:the )?(?P<by>[\w.-]+) (?:authors|project|developers|contributors|team|foundation)",
+    r"^[^\w\n]*version v?\d+(?:\.\d+)+ of [\w.-]+|\bcopyright (?:\(c\) |© )?\d{4}(?:-\d{4})? (?:the |by )?(?P<who>[\w.-]+)(?P<kind> (?:authors|project|developers|contributors|team|foundation))?|"
+    r"^[^\w\n]*(?:\(c\)|©) ?\d{4}(?:-\d{4})? (?:the )?(?P<by>[\w.-]+) (?:authors|project|developers|contributors|team|foundation)",
     re.I | re.M,
 )
-_TERMS = re.compile(r"\b(?:redistribution|redistributed|distributed|licensed|permitted|permission)\b.*\b(?:licen[cs]e|terms)\b|/licen[cs]e\b", re.I)
+_GRANT = re.compile(r"\b(?:redistribution|redistributed|distributed|licensed|permitted|permission)\b", re.I)
+_TERMS = re.compile(r"\b(?:licen[cs]e|terms)\b", re.I)
+_LICENCE_PATH = re.compile(r"/licen[cs]e\b", re.I)
 _PACKAGE_FOLDER = re.compile(r"(?:^|/)(?:vendor|vendored|third[_-]party|node_modules|bower_components|extern|externals?|deps|Godeps|Pods)/(?:@[^/]+/)?[^/]+/.*[^/]$")
 _WORKSPACE = {"apps", "libs", "services", "crates", "packages", "modules", "pkg", "projects", "components"}
 
@@ -75,10 +77,17 @@ def split_comments(text: str) -> tuple[str, str]:
     return "\n".join(head), "\n".join(code)
 
 
+def licence_terms(head: str) -> bool:
+    """Whether a line grants something and then names a licence or terms; each line is read once, however long."""
+    if _LICENCE_PATH.search(head):
+        return True
+    grants = ((line, _GRANT.search(line)) for line in head.split("\n"))
+    return any(m and _TERMS.search(line, m.end()) for line, m in grants)
+
+
 def own_signs(path: str, text: str, own: frozenset[str] = frozenset()) -> str | None:
     """``generated``, ``minified``, ``data`` or ``vendored`` if the file itself shows it; ``own`` are our own copyright holders."""
     head, code = split_comments(text)
-    head = head[:4000]
     if _NOTICE.search(head):
         return "generated"
     size = len(code)
@@ -104,9 +113,10 @@ def own_signs(path: str, text: str, own: frozenset[str] = frozenset()) -> str |
                 return "generated"
     if _PACKAGE_FOLDER.search(path):
         return "vendored"
+    terms = licence_terms(head)
     for m in _FOREIGN.finditer(head):
         who = (m["who"] or m["by"] or "").lower()
-        if not who or (who not in own and (m["kind"] or m["by"]) and _TERMS.search(head)):
+        if not who or (who not in own and (m["kind"] or m["by"]) and terms):
             return "vendored"
     return None
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import defaultdict
 from pathlib import Path
 
@@ -119,3 +120,15 @@ def test_a_copy_in_many_repositories_is_vendored(spark):
     assert {p for p, reason in got.items() if reason} == {f"libs/p{k}/src/c.py" for k in range(4)}
     assert len(got) == len(rows) - 3
     assert pv.foreign_files(df.limit(0), "path", "content").count() == 0
+
+
+@pytest.mark.parametrize(("notice", "sign"), [("Code generated by schemac", "generated"), ("@generated", "generated"), ("Version 1.4.2 of quickzip, imported from upstream", "vendored"), ("Ours", None)])
+def test_a_notice_behind_a_full_licence_text(notice, sign):
+    licence = "\n".join("// Unless agreed to in writing, the software is provided as it is, without any warranty." for _ in range(150))
+    assert pv.own_signs("src/core/zip.rs", f"{licence}\n// {notice}\nfn main() {{\n    let x = read(1);\n}}\n") == sign
+
+
+def test_a_long_head_is_read_in_linear_time():
+    began = time.process_time()
+    assert pv.own_signs("src/a.rs", "//\n" * 100_000 + "// " + "distributed " * 50_000 + "\n// Copyright 2020 The Zip Authors\nfn main() {}\n") is None
+    assert time.process_time() - began < 10
