@@ -2,11 +2,17 @@
 
 1. A text becomes the set of its word shingles (hashed with 64 bits). Texts of the same set are one class; the rest
    works on one representative of each class, so copies cost nothing however many there are.
-2. Each representative gets a sketch. Bands of registers are hashed; representatives that share a band are candidates.
-   The banding misses a pair at the threshold with a probability of at most 0.3 %, and far less above it.
-3. A candidate's similarity is estimated jointly from both sketches; what lies five standard errors below the
-   threshold is dropped.
-4. The rest is verified exactly on the shingle sets.
+2. Each representative gets a sketch. Bands of registers are hashed; representatives that share a band are candidates
+   if their sizes allow the threshold. The banding misses a pair at the threshold with a probability of at most 0.3 %,
+   and far less above it.
+3. A band that very many representatives share (a common passage) would make each of them the candidate of all others.
+   Its members are joined exactly by a prefix filter instead: two similar sets share one of their rarest shingles.
+4. A candidate's similarity is estimated jointly from both sketches, for which only sketches are moved; what lies five
+   standard errors below the threshold is dropped.
+5. The shingles of the pairs that are left are fetched, and the pairs are verified exactly.
+
+All joins of sketches and shingles are told to shuffle: after a checkpoint Spark takes their size from the plan before
+it and would broadcast them.
 """
 
 from __future__ import annotations
@@ -18,10 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronolith.llm.blocks import block_pairs, cells, large_blocks
 from chronolith.llm.setsketch import REGISTERS, band_keys, bands_for, jaccard, sketch
+from chronolith.llm.sizes import small_side
 from chronolith.session import cut
 
 PART = 2_000
+#: a band shared by more classes is left to the prefix filter
+HOT_BAND = 4_000
 
 
 def _offsets(lists: pa.Array) -> np.ndarray:
@@ -35,8 +45,8 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = batch.column("shingles")
             registers = sketch(np.asarray(sets.flatten()), _offsets(sets))
             binary = pa.array([row.tobytes() for row in registers], pa.binary())
-            columns = [batch.column("id"), binary, sets]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "registers", "shingles"])
+            columns = [batch.column("id"), sets.value_lengths().cast(pa.int32()), binary]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "registers"])
 
 
 def _registers(column: pa.Array) -> np.ndarray:
@@ -51,35 +61,25 @@ def _banded(rows: int, bands: int):
                 keys = band_keys(_registers(batch.column("registers")), rows, bands)
                 # the band's number goes into the key
                 keys ^= np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                ids = np.repeat(np.asarray(batch.column("id")), bands)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys.ravel().view(np.int64))], names=["id", "band"])
+                ids, sizes = (np.repeat(np.asarray(batch.column(c)), bands) for c in ("id", "n"))
+                columns = [pa.array(ids), pa.array(sizes), pa.array(keys.ravel().view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "band"])
 
     return run
 
 
-def _verified(threshold: float):
+def _likely(threshold: float):
+    """Pairs with both sketches in; those whose estimate does not rule the threshold out."""
     slack = 5 * np.sqrt(threshold * (1 - threshold) / REGISTERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for begin in range(0, whole.num_rows, PART):
                 batch = whole.slice(begin, PART)
-                sets = [batch.column(f"shingles_{side}") for side in "ab"]
-                sizes = [np.asarray(s.value_lengths()) for s in sets]
+                sizes = [np.asarray(batch.column(f"n_{side}")) for side in "ab"]
                 registers = [_registers(batch.column(f"registers_{side}")) for side in "ab"]
-                likely = np.flatnonzero(jaccard(*registers, *sizes) >= threshold - slack)
-                (a, a_off), (b, b_off) = ((np.asarray(s.flatten()), _offsets(s)) for s in sets)
-                both = np.array(
-                    [
-                        np.intersect1d(a[a_off[i] : a_off[i + 1]], b[b_off[i] : b_off[i + 1]], assume_unique=True).size
-                        for i in likely
-                    ],
-                    np.int64,
-                )
-                similarity = both / (sizes[0][likely] + sizes[1][likely] - both)
-                keep = similarity >= threshold
-                columns = [batch.column(c).take(pa.array(likely[keep])) for c in ("a", "b")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(similarity[keep])], names=["a", "b", "similarity"])
+                likely = pa.array(np.flatnonzero(jaccard(*registers, *sizes) >= threshold - slack))
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(likely) for c in ("a", "b")], names=["a", "b"])
 
     return run
 
@@ -97,39 +97,100 @@ def shingle_sets(df: DataFrame, key: str, text: str, words: int, min_words: int)
     )
 
 
+def _may_reach(threshold: float) -> str:
+    """Whether two sizes allow the threshold at all."""
+    return f"least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)"
+
+
+def _rare_pairs(sets: DataFrame, threshold: float, part: int) -> DataFrame:
+    """``a, b`` of all sets that can reach the threshold: they share one of the rarest shingles of both (prefix filter).
+
+    Of a set of n shingles, ordered by how many sets have them, any n - ceil(threshold * n) + 1 must meet those of a
+    similar set, so the rarest ones are taken. Where even these are common, their blocks are worked off part by part.
+    """
+    loose = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    common = loose.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"))
+    ordered = loose.join(common.where("sets > 1").hint("merge"), "shingle").groupBy("id", "n")
+    ordered = ordered.agg(F.array_sort(F.collect_list(F.struct("sets", "shingle"))).alias("o"))
+    # shingles of one set only are the rarest and meet nothing; what is left of the prefix are the first others
+    least = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("o"))
+    prefix = ordered.where(least > 0).select("id", "n", F.explode(F.slice("o", F.lit(1), least.cast("int"))).alias("s"))
+    index = cut(prefix.select("id", "n", F.col("s.shingle").alias("shingle")))
+    met = block_pairs(index, "shingle", "id", large_blocks(index, "shingle", "id", part), ("n",))
+    return met.where(_may_reach(threshold)).select("a", "b")
+
+
+def _candidates(sketched: DataFrame, sets: DataFrame, threshold: float, hot_band: int) -> DataFrame:
+    """``a, b`` (``a < b``), each once: classes that share a band, or are joined exactly where a band is too common."""
+    rows, bands = bands_for(threshold)
+    banded = sketched.mapInArrow(_banded(rows, bands), "id long, n int, band long")
+    hot = large_blocks(banded, "band", "id", hot_band).select("band")
+    some = not hot.isEmpty()
+    hot = small_side(hot)
+    cold = banded.join(hot, "band", "left_anti") if some else banded
+    first, second = cold.toDF("a", "n_a", "band"), cold.toDF("b", "n_b", "band")
+    pairs = first.join(second.hint("merge"), "band").where("a < b").where(_may_reach(threshold)).select("a", "b")
+    if some:
+        members = banded.join(hot, "band", "left_semi").select("id").distinct()
+        pairs = pairs.unionByName(_rare_pairs(cut(sets.join(members.hint("merge"), "id")), threshold, hot_band))
+    return pairs.distinct()
+
+
 def near_duplicates(
-    df: DataFrame, key: str, text: str, words: int = 5, threshold: float = 0.8, min_words: int = 1
+    df: DataFrame, key: str, text: str, words: int = 5, threshold: float = 0.8, min_words: int = 1, hot_band: int = HOT_BAND
 ) -> tuple[DataFrame, DataFrame]:
     """Classes of texts with the same shingles, and similar pairs of classes.
 
     Returns ``members`` (``key, class``: every row with a text long enough, once) and ``links`` (``a, b, similarity``
     between classes, ``a < b``, similarity at least ``threshold``). A repeated key counts once per different text;
     null keys are rows like any other; other columns are not read; a table without a text that is long enough gives
-    two empty tables.
+    two empty tables. ``hot_band`` only says from where on a band is left to the prefix filter.
     """
-    rows, bands = bands_for(threshold)
-    sets = shingle_sets(df, key, text, words, min_words)
-    hashed = sets.withColumns({"c1": F.xxhash64("shingles"), "c2": F.xxhash64(F.lit(1), "shingles")})
+    hashed = shingle_sets(df, key, text, words, min_words).withColumns({"c1": F.xxhash64("shingles"), "c2": F.xxhash64(F.lit(1), "shingles")})
     classes = hashed.groupBy("c1", "c2").agg(F.first("shingles").alias("shingles"))
     # the class id is the first hash; the second one only tells apart what the first one confuses
-    named = classes.withColumn("id", F.xxhash64("c1", "c2"))
-    sketched = cut(named.select("id", "shingles").mapInArrow(_sketched, "id long, registers binary, shingles array<long>"))
-    banded = sketched.select("id", "registers").mapInArrow(_banded(rows, bands), "id long, band long")
-    first, second = banded.withColumnRenamed("id", "a"), banded.withColumnRenamed("id", "b")
-    candidates = first.join(second, "band").where("a < b").select("a", "b").distinct()
-    side = {s: sketched.toDF(*(f"{c}_{s}" for c in sketched.columns)) for s in "ab"}
-    full = candidates.join(side["a"], F.col("a") == F.col("id_a")).join(side["b"], F.col("b") == F.col("id_b"))
-    links = full.select("a", "b", "registers_a", "registers_b", "shingles_a", "shingles_b")
-    links = links.mapInArrow(_verified(threshold), "a long, b long, similarity double")
+    sets = cut(classes.select(F.xxhash64("c1", "c2").alias("id"), "shingles"))
+    sketched = cut(sets.mapInArrow(_sketched, "id long, n int, registers binary"))
+    side = {s: sketched.toDF(*(f"{c}_{s}" for c in sketched.columns)).hint("merge") for s in "ab"}
+    met = _candidates(sketched, sets, threshold, hot_band)
+    met = met.join(side["a"], F.col("a") == F.col("id_a")).join(side["b"], F.col("b") == F.col("id_b"))
+    met = met.select("a", "b", "n_a", "n_b", "registers_a", "registers_b").mapInArrow(_likely(threshold), "a long, b long")
+    likely = cut(met)
+    wanted = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
+    held = sets.join(wanted.hint("merge"), "id")
+    held = {s: held.toDF(f"id_{s}", f"shingles_{s}").hint("merge") for s in "ab"}
+    full = likely.join(held["a"], F.col("a") == F.col("id_a")).join(held["b"], F.col("b") == F.col("id_b"))
+    both = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    links = full.select("a", "b", (both / (F.size("shingles_a") + F.size("shingles_b") - both)).alias("similarity"))
     members = hashed.select(F.col("key").alias(key), F.xxhash64("c1", "c2").alias("class")).distinct()
-    return members, links
+    return members, links.where(F.col("similarity") >= threshold)
+
+
+def named_classes(members: DataFrame, links: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Both tables with every class named by its smallest key: ``key, class, copies, links`` and ``class_a, class_b, similarity``.
+
+    ``copies`` counts the keys of the class, ``links`` the other classes it is similar to. Nothing is expanded.
+    """
+    members, links = cut(members), cut(links)
+    names = members.groupBy("class").agg(F.min(key).alias("name"), F.count(F.lit(1)).alias("copies"))
+    ends = links.select(F.col("a").alias("class")).union(links.select("b")).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
+    names = cut(names.join(ends.hint("merge"), "class", "left").fillna(0, ["links"]))
+    rows = members.join(names.hint("merge"), "class").select(key, F.col("name").alias("class"), "copies", "links")
+    side = {s: names.select(F.col("class").alias(s), F.col("name").alias(f"name_{s}")).hint("merge") for s in "ab"}
+    pairs = links.join(side["a"], "a").join(side["b"], "b")
+    return rows, pairs.select(F.least("name_a", "name_b").alias("class_a"), F.greatest("name_a", "name_b").alias("class_b"), "similarity")
 
 
 def expand(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
-    """All similar pairs of rows, ``key_a < key_b``: inside each class and across linked classes."""
-    left = members.select(F.col(key).alias("x"), F.col("class").alias("cx"))
-    right = members.select(F.col(key).alias("y"), F.col("class").alias("cy"))
-    inside = left.join(right, F.col("cx") == F.col("cy")).where("x < y").select("x", "y")
-    across = links.select("a", "b").join(left, F.col("a") == F.col("cx")).join(right, F.col("b") == F.col("cy"))
+    """All similar pairs of rows, ``key_a < key_b``: inside each class and across linked classes.
+
+    Classes of many copies are cut into parts, so no task makes the pairs of a whole class.
+    """
+    members = cut(members)
+    large = large_blocks(members, "class", key)
+    inside = block_pairs(members, "class", key, large).toDF("x", "y")
+    rows = members.select(F.col(key).alias("y"), F.col("class").alias("b"))
+    near = cells(cut(links.select("a", "b")).withColumnRenamed("a", "class"), members.withColumnRenamed(key, "x"), "class", large, "b", "x")
+    across = cells(near.select("b", "x"), rows, "b", large.withColumnRenamed("class", "b"), "x", "y")
     pairs = inside.unionByName(across.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
     return pairs.select(F.col("x").alias(f"{key}_a"), F.col("y").alias(f"{key}_b"))

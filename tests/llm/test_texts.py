@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 import re
+from itertools import combinations
 
 import numpy as np
 import pytest
 
+from chronolith.llm import blocks as bl
 from chronolith.llm import neardup as nd
 from chronolith.llm import pii
 from chronolith.llm import setsketch as sk
@@ -48,6 +50,53 @@ def test_near_duplicates_equal_brute_force(spark, words, threshold):
     assert len(got) >= 0.99 * len(want) and want
 
 
+@pytest.mark.parametrize("hot_band", [4, 40])
+def test_common_bands_lose_nothing(spark, hot_band):
+    """A third of all rows shares a passage; bands and shingles of many rows are worked off part by part."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(4000)}"
+    passage = [f"common{k}" for k in range(40)]
+    texts = [" ".join(passage + [word() for _ in range(rng.choice([3, 12, 30]))]) for _ in range(100)]
+    texts += [" ".join(word() for _ in range(40)) for _ in range(150)] + texts[:5]
+    rows = [(f"k{i:04}", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "key string, text string").repartition(4)
+    members, links = nd.near_duplicates(df, "key", "text", 3, 0.5, 20, hot_band)
+    got = {(r.key_a, r.key_b) for r in nd.expand(members, links, "key").collect()}
+    sets = {k: shingles(t, 3) for k, t in rows}
+    want = {(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])}
+    assert got <= want and len(got) >= (1.0 if hot_band == 4 else 0.99) * len(want) and len(want) > 500
+
+
+def test_classes_are_named_by_their_smallest_key(spark):
+    base = [f"w{k}" for k in range(60)]
+    texts = {"d": base, "b": base, "c": [*base, "end"], "a": [f"x{k}" for k in range(30)]}
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()] + [("b", " ".join(base))], "key string, text string")
+    members, pairs = nd.named_classes(*nd.near_duplicates(df, "key", "text"), "key")
+    assert {tuple(r) for r in members.select("key", "class", "copies", "links").collect()} == {("a", "a", 1, 0), ("b", "b", 2, 1), ("d", "b", 2, 1), ("c", "c", 1, 1)}
+    assert [(r.class_a, r.class_b, round(r.similarity, 6)) for r in pairs.collect()] == [("b", "c", round(56 / 57, 6))]
+
+
+def test_sketches_and_shingles_are_never_broadcast(spark, tmp_path):
+    df = spark.createDataFrame([(f"k{i:04}", t) for i, t in enumerate(corpus(random.Random(5), 60))], "key string, text string")
+    members, links = nd.near_duplicates(df, "key", "text")
+    for result in (links, nd.expand(members, links, "key")):
+        plan = result._jdf.queryExecution().executedPlan().toString()
+        wide = [line for line in plan.splitlines() if "Broadcast" in line and ("shingles" in line or "registers" in line)]
+        assert "SortMergeJoin" in plan and not wide
+
+
+@pytest.mark.parametrize(("count", "part"), [(50, 7), (400, 320), (3, 1000)])
+def test_every_pair_of_a_block_once(spark, count, part):
+    index = spark.createDataFrame([(k, "x" if k % 10 else "y", 2 * k) for k in range(count)], "id long, block string, n long")
+    large = bl.large_blocks(index, "block", "id", part)
+    got = [(r.a, r.b, r.n_a, r.n_b) for r in bl.block_pairs(index, "block", "id", large, ("n",)).collect()]
+    want = {(a, b, 2 * a, 2 * b) for a, b in combinations(range(count), 2) if (a % 10 == 0) == (b % 10 == 0)}
+    assert len(got) == len(set(got)) and set(got) == want
+    other = index.toDF("other", "block", "m")
+    met = bl.cells(index, other, "block", large, "id", "other")
+    assert met.count() == 2 * len(want) + count
+
+
 def test_no_texts(spark):
     df = spark.createDataFrame([], "key string, text string")
     members, links = nd.near_duplicates(df, "key", "text")
