@@ -18,6 +18,8 @@ def local_session(threads: int | str = "*", **conf: str) -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g")
+        # checkpoints that nothing refers to any more are removed
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -27,11 +29,14 @@ def local_session(threads: int | str = "*", **conf: str) -> SparkSession:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the session's shared folder.
 
-    The folder is read from ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a temporary
-    folder is set. Lost executors do not lose checkpointed data.
+    The folder is read from ``spark.checkpoint.dir``. Only a local session may do without it and gets a temporary
+    folder; on a cluster such a folder would lie on one machine, so the setting is asked for. Lost executors do not
+    lose checkpointed data.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="chronolith-checkpoint-"))
     return df.checkpoint()
