@@ -1,10 +1,11 @@
 """Problem 1: items that appear together, by stripes and the log-likelihood ratio.
 
-1. Items that cannot be part of a result are dropped exactly: a pair in ``min_count`` baskets needs both items in as
+1. The input is read once; its distinct (basket, item) rows are checkpointed.
+2. Items that cannot be part of a result are dropped exactly: a pair in ``min_count`` baskets needs both items in as
    many, and a lift of ``min_lift`` is out of reach for an item found in more than ``1 / min_lift`` of the baskets.
-2. Each remaining item gets an integer id (checkpointed, so that ids survive a lost executor).
-3. Baskets become blocks of about ``BLOCK`` items. Nearly all baskets are one block; a giant basket is spread over
-   many tasks and contributes its block pairs.
+   Each remaining item gets an integer id (checkpointed, so that ids survive a lost executor).
+3. Nearly all baskets are one list of at most ``BLOCK`` items. A larger one becomes blocks of about that size; every
+   pair of blocks is a row of its own with its own key (basket, i, j), so its pairs are made by many tasks.
 4. Every task builds stripes, item -> {neighbour: count}, in memory and emits them when ``FLUSH`` entries are reached.
    The stripe of a frequent item is split into shards by neighbour, so that no task gets an unbounded stripe.
 5. Stripes of one item and shard meet in one task, which merges the arrays by key.
@@ -27,18 +28,28 @@ from chronolith.session import cut
 BLOCK = 256
 FLUSH = 2_000_000
 SHARD_BASKETS = 100_000
+#: an item in more than one of so many rows is hot; there are never more hot items than this
+HOT = 10_000
 #: chi-squared, one degree of freedom, p = 0.001
 SIGNIFICANT = 10.828
 
 STRIPE = "item long, shard long, neighbours array<long>, counts array<long>"
 
 
-def _pairs(items: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j), i before j, of all pairs inside each slice of ``items``."""
-    sizes = np.diff(offsets)
+def _portions(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of rows that make about ``FLUSH`` pairs, so that memory does not grow with the size of a batch."""
+    made = np.cumsum(np.where(right == 0, left * (left - 1) // 2, left * right))
+    group = made // max(FLUSH, 1)
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.empty(0, np.int64)
+    return [(int(a), int(b)) for a, b in zip(starts, np.r_[starts[1:], len(made)], strict=True)]
+
+
+def _pairs(items: np.ndarray, sizes: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j), i before j, of all pairs inside the slices of ``items``; slices lie ``steps`` apart, those of size 0 make none."""
+    begins = np.cumsum(steps) - steps
     left, right = [], []
     for size in np.unique(sizes[sizes > 1]):
-        starts = offsets[:-1][sizes == size]
+        starts = begins[sizes == size]
         i, j = np.triu_indices(size, 1)
         left.append((starts[:, None] + i).ravel())
         right.append((starts[:, None] + j).ravel())
@@ -48,11 +59,15 @@ def _pairs(items: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _across(a_off: np.ndarray, b_off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all (i, j), i in the left block and j in the right block of the same row."""
+    """Positions of all (i, j), i in the left block and j in the right block of the same row; none if it has no right block."""
     left, right = [], []
     for a0, a1, b0, b1 in zip(a_off[:-1], a_off[1:], b_off[:-1], b_off[1:], strict=True):
+        if b0 == b1:
+            continue
         left.append(np.repeat(np.arange(a0, a1), b1 - b0))
         right.append(np.tile(np.arange(b0, b1), a1 - a0))
+    if not left:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -92,18 +107,19 @@ def _stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns.append((np.asarray(flat.field("id")), np.asarray(flat.field("shards")), offsets))
         (left, left_shards, left_off), (right, right_shards, right_off) = columns
         one = right_off[1:] == right_off[:-1]
-        i, j = _pairs(left, np.r_[0, np.cumsum(np.where(one, np.diff(left_off), 0))]) if one.all() else (None, None)
-        if i is None:
-            i, j = _across(left_off, right_off)
-            a, b, shards, other = left[i], right[j], left_shards[i], right_shards[j]
-        else:
-            a, b, shards, other = left[i], left[j], left_shards[i], left_shards[j]
-        swap = a > b
-        held.append((np.where(swap, b, a), np.where(swap, a, b), np.where(swap, other, shards)))
-        entries += len(a)
-        if entries >= FLUSH:
-            yield from flush()
-            held, entries = [], 0
+        for begin, end in _portions(np.diff(left_off), np.diff(right_off)):
+            mine = slice(left_off[begin], left_off[end])
+            i, j = _pairs(left[mine], np.where(one, np.diff(left_off), 0)[begin:end], np.diff(left_off)[begin:end])
+            x, y = _across(left_off[begin : end + 1], right_off[begin : end + 1])
+            i, j = i + left_off[begin], j + left_off[begin]
+            a, b = np.r_[left[i], left[x]], np.r_[left[j], right[y]]
+            shards, other = np.r_[left_shards[i], left_shards[x]], np.r_[left_shards[j], right_shards[y]]
+            swap = a > b
+            held.append((np.where(swap, b, a), np.where(swap, a, b), np.where(swap, other, shards)))
+            entries += len(a)
+            if entries >= FLUSH:
+                yield from flush()
+                held, entries = [], 0
     if entries:
         yield from flush()
 
@@ -150,6 +166,29 @@ def log_likelihood(n_ab: Column, n_a: Column, n_b: Column, n: Column) -> Column:
     )
 
 
+def _coded(seen: DataFrame, items: DataFrame) -> DataFrame:
+    """``seen`` with the ids of its items. Where these are too many to broadcast, only the hot ones are: at most ``HOT``."""
+    narrow = items.select("item", "id", "shards")
+    near = small_side(narrow)
+    if near is not narrow:
+        return seen.join(near, "item")
+    least = seen.count() / HOT
+    hot = F.broadcast(items.where(F.col("n") > least).select("item", "id", "shards"))
+    rest = items.where(F.col("n") <= least).select("item", "id", "shards")
+    return seen.join(hot, "item").unionByName(seen.join(rest.hint("merge"), "item"))
+
+
+def _block_pairs(coded: DataFrame) -> DataFrame:
+    """``left, right`` lists of every two blocks of the large baskets; ``right`` is empty for a block by itself."""
+    block = F.pmod(F.xxhash64("entry.id"), F.col("blocks")).cast("int")
+    lists = cut(coded.groupBy("basket", block.alias("block"), "blocks").agg(F.collect_list("entry").alias("items")))
+    first = lists.select("basket", F.col("items").alias("left"), F.col("block").alias("i"), F.explode(F.expr("sequence(block, cast(blocks as int) - 1)")).alias("j"))
+    second = lists.select("basket", F.col("items").alias("right"), F.col("block").alias("j"), F.explode(F.expr("sequence(0, block)")).alias("i"))
+    # a block without items has no row: its partner makes no pair with it
+    met = first.join(second.hint("merge"), ["basket", "i", "j"])
+    return met.select("left", F.when(F.col("i") < F.col("j"), F.col("right")).otherwise(F.array().cast(lists.schema["items"].dataType)).alias("right"))
+
+
 def cooccurring(
     rows: DataFrame, basket: str, item: str, min_count: int = 10, min_lift: float = 4.0, llr: float = SIGNIFICANT
 ) -> DataFrame:
@@ -162,8 +201,9 @@ def cooccurring(
     all items, baskets and neighbours are counted.
     """
     raw = rows.select(F.col(basket).alias("basket"), F.col(item).cast("string").alias("item")).dropna(how="any")
-    seen = raw.distinct()
-    total = raw.select("basket").distinct().count()
+    seen = cut(raw.distinct())
+    sizes = cut(seen.groupBy("basket").agg(F.count(F.lit(1)).alias("size")))
+    total = sizes.count()
     counts = tree_aggregate(seen, ["item"], {"n": ("count", F.lit(1))})
     items = counts.where((F.col("n") >= min_count) & (F.col("n") * F.lit(min_lift) <= total))
     items = cut(
@@ -171,21 +211,16 @@ def cooccurring(
             "item", "n", F.monotonically_increasing_id().alias("id"), (1 + F.expr(f"n div {SHARD_BASKETS}")).alias("shards")
         )
     )
-    large = raw.groupBy("basket").agg((1 + F.expr(f"count(*) div {BLOCK}")).alias("blocks")).where("blocks > 1")
-    parts = (
-        seen.join(small_side(items), "item")
-        .select("basket", F.struct("id", "shards").alias("entry"))
-        .join(large, "basket", "left")
-        .withColumn("block", F.pmod(F.xxhash64("entry.id"), F.coalesce("blocks", F.lit(1))))
-        .groupBy("basket", "block", "blocks")
-        .agg(F.collect_list("entry").alias("left"))
-    )
+    coded = _coded(seen, items).select("basket", F.struct("id", "shards").alias("entry"))
+    large = cut(sizes.where(F.col("size") > BLOCK).select("basket", (1 + F.expr(f"size div {BLOCK}")).alias("blocks")))
+    some = not large.isEmpty()
+    large = small_side(large)
     nothing = F.array().cast("array<struct<id:bigint,shards:bigint>>")
-    inside = parts.where(F.size("left") > 1).select("left", nothing.alias("right"))
-    several = parts.where("blocks > 1")
-    across = several.alias("x").join(several.alias("y"), F.expr("x.basket = y.basket and x.block < y.block"))
-    across = across.select(F.col("x.left").alias("left"), F.col("y.left").alias("right"))
-    stripes = inside.mapInArrow(_stripes, STRIPE).unionByName(across.mapInArrow(_stripes, STRIPE))
+    plain = coded.join(large, "basket", "left_anti") if some else coded
+    lists = plain.groupBy("basket").agg(F.collect_list("entry").alias("left")).where(F.size("left") > 1)
+    stripes = lists.select("left", nothing.alias("right")).mapInArrow(_stripes, STRIPE)
+    if some:
+        stripes = stripes.unionByName(_block_pairs(coded.join(large, "basket")).mapInArrow(_stripes, STRIPE))
     merged = (
         stripes.repartition("item", "shard")
         .sortWithinPartitions("item", "shard")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chronolith.llm import cooccurrence as co
 from chronolith.llm import names as nm
+from chronolith.llm import sizes
 from chronolith.llm.graph import components
 from chronolith.llm.topn import top_n
 
@@ -42,6 +43,23 @@ def test_pairs_equal_brute_force(spark, monkeypatch, block, flush, shard):
     assert all(r.item_a < r.item_b and r.lift >= 1.2 for r in got)
 
 
+@pytest.mark.parametrize("rows", [500_000, 1])
+def test_a_giant_basket_is_spread_over_tasks(spark, monkeypatch, rows):
+    """One basket holds two thirds of all rows; no task makes more than a few of its block pairs."""
+    monkeypatch.setattr(co, "BLOCK", 40)
+    monkeypatch.setattr(co, "small_side", lambda df, limit=rows: sizes.small_side(df, limit))
+    data = [("giant", f"i{k:03}") for k in range(600)] + [(f"b{k % 60}", f"i{(7 * k) % 150:03}") for k in range(300)]
+    df = spark.createDataFrame(data, "basket string, item string")
+    got = {(r.item_a, r.item_b, r.n_ab) for r in co.cooccurring(df, "basket", "item", 2, 1.0, 0.0).collect()}
+    assert got == brute(data, 2, 1.0) and got
+    coded = df.where("basket = 'giant'").selectExpr("basket", "named_struct('id', xxhash64(item), 'shards', 1L) as entry", "16L as blocks")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # these few bytes would become one task
+    spread = co._block_pairs(coded).select(F.spark_partition_id().alias("task"), (F.size("left") * F.greatest(F.size("right"), F.lit(1))).alias("pairs"))
+    by_task = [r.pairs for r in spread.groupBy("task").agg(F.sum("pairs").alias("pairs")).collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(by_task) == 4 and max(by_task) < 0.5 * sum(by_task)
+
+
 def test_no_pairs(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert co.cooccurring(empty, "basket", "item").count() == 0
@@ -162,7 +180,7 @@ def test_blocks_hold_every_pair_the_comparison_accepts(spark, monkeypatch):
         name = rng.choice([f"{g} {f}", f"{f}, {g}", f"{g[0]}{f}".lower(), f"{f} Runtime Team", f"The Team {f} Labs", f"{f.lower()}-bot", g])
         rows.append((k, name, rng.choice([None, f"{g[0]}{f}@x.example".lower(), f"{g}.{f}@y.example".lower().replace("..", "."), f"{g}@{f}.example".lower().replace(".@", "@")])))
     df = spark.createDataFrame(rows, "id long, name string, email string")
-    readings = nm._readings(df.mapInPandas(nm._read, f"id long, {nm.READING}")).localCheckpoint()
+    readings = nm._readings(df.mapInPandas(nm._read, f"id long, {nm.READING}")).checkpoint()
     own = {r.reading: {**r.asDict(), "least": None} for r in readings.collect()}
     want = {(a, b) for a in own for b in own if (a < b or a == b and own[a]["n"] > 1) and nm.compare(own[a], own[b])}
     met = {(r.a, r.b) for r in nm._pairs(readings).collect()}
