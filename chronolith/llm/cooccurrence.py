@@ -21,15 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.sizes import small_side
+from chronolith.llm.sizes import attach, small_side
 from chronolith.operators.treeagg import tree_aggregate
 from chronolith.session import cut
 
 BLOCK = 256
 FLUSH = 2_000_000
 SHARD_BASKETS = 100_000
-#: an item in more than one of so many rows is hot; there are never more hot items than this
-HOT = 10_000
 #: chi-squared, one degree of freedom, p = 0.001
 SIGNIFICANT = 10.828
 
@@ -167,15 +165,9 @@ def log_likelihood(n_ab: Column, n_a: Column, n_b: Column, n: Column) -> Column:
 
 
 def _coded(seen: DataFrame, items: DataFrame) -> DataFrame:
-    """``seen`` with the ids of its items. Where these are too many to broadcast, only the hot ones are: at most ``HOT``."""
-    narrow = items.select("item", "id", "shards")
-    near = small_side(narrow)
-    if near is not narrow:
-        return seen.join(near, "item")
-    least = seen.count() / HOT
-    hot = F.broadcast(items.where(F.col("n") > least).select("item", "id", "shards"))
-    rest = items.where(F.col("n") <= least).select("item", "id", "shards")
-    return seen.join(hot, "item").unionByName(seen.join(rest.hint("merge"), "item"))
+    """``seen`` with the ids of its items; where these are too many to broadcast, only the hot ones are."""
+    near = small_side(items)
+    return seen.join(near, "item") if near is not items else attach(seen, items, "item", "n", seen.count())
 
 
 def _block_pairs(coded: DataFrame) -> DataFrame:

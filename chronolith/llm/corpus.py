@@ -52,7 +52,7 @@ def p10_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why each source file with content is not hand-written here, with its metrics; null if it is."""
+    """Why each source file with content is not hand-written here, what decided, and its metrics; null if it is."""
     judged = foreign_files(table(spark, sf_dir, "source_files"), "path", "content")
     metrics = table(spark, sf_dir, "file_complexity").groupBy("path").agg(
         F.max("line_count").alias("line_count"), F.max("function_count").alias("function_count")
@@ -65,8 +65,31 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.where("reason is not null").select("path").distinct()
 
 
+def p2_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many copies fingerprints find without any sign: every file is planted in three other projects, as it is and edited.
+
+    An edited copy lacks every 25th line of the file, each copy other ones, and has a line of its own at the end. Per kind of copy: those
+    planted, those of 1,000 characters and more, and of these the ones found.
+    """
+    files = table(spark, sf_dir, "source_files").where("trim(content) <> ''").select("path", "content")
+    edited = F.expr("concat(array_join(filter(split(content, '\\n'), (x, i) -> i % 25 <> 8 * (k - 4)), '\n'), '\nlast_', cast(k as string), ' = 1\n')")
+    copies = files.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(6)))).select(
+        F.format_string("planted-%d/%s", "k", "path").alias("path"), F.when(F.col("k") > 3, edited).otherwise(F.col("content")).alias("content"), (F.col("k") > 3).alias("edited")
+    )
+    # as it is and edited are two tables of their own, so that one kind of copy does not lend repositories to the other
+    out = None
+    for kind in (False, True):
+        some = copies.where(F.col("edited") == kind)
+        judged = foreign_files(files.unionByName(some.select("path", "content")), "path", "content", signs=False)
+        known = some.select("path", (F.length("content") >= 1000).alias("long")).join(judged.select("path", "reason"), "path")
+        found = F.col("long") & F.col("reason").isNotNull()
+        rows = known.agg(F.lit(kind).alias("edited"), F.count(F.lit(1)).alias("planted"), F.count_if("long").alias("long"), F.count_if(found).alias("found"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 QUERIES = {
-    "p2_found": p2_found,
+    "p2_found": p2_found, "p2_planted": p2_planted,
     "p2_files": p2_files,
     "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_by_source": p10_by_source,
 }

@@ -1,12 +1,16 @@
-"""Problem 2: generated, minified, vendored and data files among source files.
+"""Problem 2: generated, minified, vendored and data files among source files, by winnowing.
 
-Vendored copies: the token stream of a file (comments left out, numbers and strings reduced to their kind) is
-fingerprinted by winnowing; a file most of whose fingerprints recur in several unrelated repositories was copied. A
-copy that is kept only once is known by what copies say of themselves, a foreign notice at the head, or by the
-package folder it lies in.
+The token stream of a file (comments left out) is normalised in two ways and fingerprinted by winnowing:
 
-Generated, minified and data files are known by their own text: a generator's notice in the head comment, numbered
-declarations in sequence, code without line breaks and blanks, and literal data that make up most of the text.
+- its text: numbers and strings reduced to their kind, names kept. Most of a copied file's fingerprints recur in
+  several unrelated repositories;
+- its form: names reduced to their kind, too, in longer runs. What a program wrote repeats the same few forms over and
+  over and everywhere; what a person wrote does not, save for short pieces.
+
+Fingerprints decide first. What they leave open is decided by the file's own signs: a generator's notice, numbered
+declarations in sequence, code without line breaks and blanks, literal data, the notice of a foreign author. A package
+folder alone decides nothing: its package has to be named by a foreign notice somewhere, to carry a version, or to lie
+in the package folders of several unrelated repositories.
 """
 
 from __future__ import annotations
@@ -20,18 +24,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronolith.llm.sizes import attach, small_side
 from chronolith.session import cut
 
-#: tokens of a fingerprinted run, and runs of which one is kept
-RUN, WINDOW = 25, 16
-#: a copy: this share of the fingerprints is found in at least so many other repositories, of at least so many prints
-COPIED, OTHERS, PRINTS = 0.6, 2, 6
+#: tokens of a fingerprinted run, and runs of which one is kept: for a file's text and for its form
+TEXT, FORM = (25, 16), (80, 40)
+#: names that a run of text has to hold to say anything about where it comes from
+NAMES = 5
+#: this share of the fingerprints has to recur in at least so many other repositories; files of fewer fingerprints of
+#: their text, or of fewer tokens, are left to their signs
+COPIED, OTHERS, PRINTS, TOKENS = 0.6, 2, 6, 160
+
+# Words of programming languages that belong to the form of a program.
+WORDS = frozenset(
+    "if else elif for while do switch match case default return break continue const let var int def class function func fn static struct enum "
+    "import from require include export package new delete try catch except finally throw raise with as in is not and or await async yield void "
+    "string number bool boolean char float double unsigned malloc free sizeof null none nil true false self this public private protected".split()
+)
 
 _LINE_COMMENT = re.compile(r"^\s*(?://|#(?!\s*(?:include|define|if|ifdef|ifndef|else|endif|pragma|undef)\b)|--(?!\S)|;;|%)")
 _BLOCK_COMMENT = re.compile(r"/\*.*?\*/|<!--.*?-->", re.S)
 _TOKEN = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[^\W\d]\w*|\d[\w.]*|[^\w\s]")
 _NUMBER = re.compile(r"[-+]?(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)[uUlLfF]?")
-_LITERALS = re.compile(rf"(?:{_NUMBER.pattern}[\s,;()\[\]{{}}]*){{6,}}")
+_LITERALS = re.compile(rf"(?:{_NUMBER.pattern}[\s,;()\[\]{{}}]+){{5,}}{_NUMBER.pattern}[\s,;()\[\]{{}}]*")
 _ENCODED = re.compile(r"[\"'`][A-Za-z0-9+/=_-]{40,}[\"'`]|(?:\\x[0-9a-fA-F]{2}){16,}")
 _NUMBERED = re.compile(r"[A-Za-z]_?(\d{1,6})\b")
 _NOTICE = re.compile(
@@ -41,15 +56,18 @@ _NOTICE = re.compile(
     re.I | re.M,
 )
 _FOREIGN = re.compile(
-    r"\b(?:imported|copied|taken|vendored) (?:unchanged |verbatim |unmodified )?from (?!.*\bwe used\b)[\w.-]+|\bupstream release\b|\breport bugs upstream\b|"
-    r"^[^\w\n]*version v?\d+(?:\.\d+)+ of [\w.-]+|\bcopyright (?:\(c\) |© )?\d{4}(?:-\d{4})? (?:the |by )?(?P<who>[\w.-]+)(?P<kind> (?:authors|project|developers|contributors|team|foundation))?|"
+    r"\b(?:imported|copied|taken|vendored) (?:unchanged |verbatim |unmodified )?from (?!.*\bwe used\b)(?P<origin>[\w.-]+)|\bupstream release\b|\breport bugs upstream\b|"
+    r"^[^\w\n]*version v?\d+(?:\.\d+)+ of (?P<product>[\w.-]+)|\bcopyright (?:\(c\) |© )?\d{4}(?:-\d{4})? (?:the |by )?(?P<who>[\w.-]+)(?P<kind> (?:authors|project|developers|contributors|team|foundation))?|"
     r"^[^\w\n]*(?:\(c\)|©) ?\d{4}(?:-\d{4})? (?:the )?(?P<by>[\w.-]+) (?:authors|project|developers|contributors|team|foundation)",
     re.I | re.M,
 )
 _GRANT = re.compile(r"\b(?:redistribution|redistributed|distributed|licensed|permitted|permission)\b", re.I)
 _TERMS = re.compile(r"\b(?:licen[cs]e|terms)\b", re.I)
 _LICENCE_PATH = re.compile(r"/licen[cs]e\b", re.I)
-_PACKAGE_FOLDER = re.compile(r"(?:^|/)(?:vendor|vendored|third[_-]party|node_modules|bower_components|extern|externals?|deps|Godeps|Pods)/(?:@[^/]+/)?[^/]+/.*[^/]$")
+_PACKAGE_FOLDER = re.compile(
+    r"(?:^|/)(?:vendor|vendored|third[_-]party|node_modules|bower_components|extern|externals?|deps|Godeps|Pods)/(?:@[^/]+/)?"
+    r"(?P<package>[^/]+?)(?P<version>[-@_]?v?\d+(?:\.\d+)+)?/.*[^/]$"
+)
 _WORKSPACE = {"apps", "libs", "services", "crates", "packages", "modules", "pkg", "projects", "components"}
 
 
@@ -85,99 +103,178 @@ def licence_terms(head: str) -> bool:
     return any(m and _TERMS.search(line, m.end()) for line, m in grants)
 
 
-def own_signs(path: str, text: str, own: frozenset[str] = frozenset()) -> str | None:
-    """``generated``, ``minified``, ``data`` or ``vendored`` if the file itself shows it; ``own`` are our own copyright holders."""
+def package(path: str) -> tuple[str | None, bool]:
+    """The package whose folder a path lies in, in lower case, and whether the folder carries its version."""
+    m = _PACKAGE_FOLDER.search(path)
+    return (m["package"].lower(), m["version"] is not None) if m else (None, False)
+
+
+def foreign_notices(head: str, own: frozenset[str] = frozenset()) -> tuple[bool, list[str]]:
+    """Whether a head comment holds a notice of a foreign author, and who or what such notices name."""
+    found, named = False, set()
+    terms = None
+    for m in _FOREIGN.finditer(head):
+        who = (m["who"] or m["by"] or "").lower()
+        if who:
+            terms = licence_terms(head) if terms is None else terms
+            if who in own or not (m["kind"] or m["by"]) or not terms:
+                continue
+        found = True
+        named |= {x.lower().rstrip(".") for x in (who, m["origin"], m["product"]) if x}
+    return found, sorted(named)
+
+
+def own_signs(text: str, own: frozenset[str] = frozenset()) -> tuple[str | None, list[str]]:
+    """``generated``, ``minified``, ``data`` or ``vendored`` if the text itself shows it, and the foreign names in its notices.
+
+    ``own`` are our own copyright holders.
+    """
     head, code = split_comments(text)
+    foreign, named = foreign_notices(head, own)
+    return _sign(head, code) or ("vendored" if foreign else None), named
+
+
+def _sign(head: str, code: str) -> str | None:
     if _NOTICE.search(head):
         return "generated"
     size = len(code)
-    if size:
-        lines = code.split("\n")
-        blanks = sum(map(str.isspace, code)) / size
-        literal = sum(len(m[0]) for m in _LITERALS.finditer(code)) + sum(len(m[0]) for m in _ENCODED.finditer(code))
-        if literal >= 0.6 * size and size >= 200:
-            return "data"
-        if size >= 300 and blanks < 0.09 and size / len(lines) > 120:
-            return "minified"
-        if len(lines) >= 8:
-            numbers = {int(n) for n in _NUMBERED.findall(code)}
-            run = 0
-            while run in numbers:
-                run += 1
-            shapes: dict[str, int] = {}
-            for line in lines:
-                shape = re.sub(r"\d+", "0", re.sub(r"[^\W\d]\w*", "w", line.strip()))
-                shapes[shape] = shapes.get(shape, 0) + 1
-            top = sum(sorted(shapes.values(), reverse=True)[:4]) / len(lines)
-            if run >= 6 and run * 6 >= len(lines) and top >= 0.6:
-                return "generated"
-    if _PACKAGE_FOLDER.search(path):
-        return "vendored"
-    terms = licence_terms(head)
-    for m in _FOREIGN.finditer(head):
-        who = (m["who"] or m["by"] or "").lower()
-        if not who or (who not in own and (m["kind"] or m["by"]) and terms):
-            return "vendored"
+    if not size:
+        return None
+    lines = code.split("\n")
+    blanks = sum(map(str.isspace, code)) / size
+    literal = sum(len(m[0]) for m in _LITERALS.finditer(code)) + sum(len(m[0]) for m in _ENCODED.finditer(code))
+    if literal >= 0.6 * size and size >= 200:
+        return "data"
+    if size >= 300 and blanks < 0.09 and size / len(lines) > 120:
+        return "minified"
+    if len(lines) >= 8:
+        numbers = {int(n) for n in _NUMBERED.findall(code)}
+        run = 0
+        while run in numbers:
+            run += 1
+        shapes: dict[str, int] = {}
+        for line in lines:
+            shape = re.sub(r"\d+", "0", re.sub(r"[^\W\d]\w*", "w", line.strip()))
+            shapes[shape] = shapes.get(shape, 0) + 1
+        top = sum(sorted(shapes.values(), reverse=True)[:4]) / len(lines)
+        if run >= 6 and run * 6 >= len(lines) and top >= 0.6:
+            return "generated"
     return None
 
 
-def fingerprints(text: str) -> np.ndarray:
-    """Winnowed 64-bit fingerprints of the token stream, each once; none for fewer tokens than a run."""
-    _, code = split_comments(text)
-    codes = []
-    for token in _TOKEN.findall(code):
-        first = token[0]
-        codes.append("0" if first.isdigit() else '""' if first in "\"'" else token)
-    if len(codes) < RUN:
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 2**64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.r_[np.uint64(1), np.full(max(n - 1, 0), base, np.uint64)], dtype=np.uint64)[:n]
+
+
+def winnow(hashes: np.ndarray, run: int, window: int, telling: np.ndarray | None = None, least: int = 0) -> np.ndarray:
+    """Winnowed 64-bit fingerprints of a stream of token hashes, each once; none for fewer tokens than a run.
+
+    With ``telling`` flags, fingerprints of runs with fewer than ``least`` such tokens are left out.
+    """
+    n = len(hashes) - run + 1
+    if n < 1:
         return np.empty(0, np.int64)
-    names = {t: xxhash.xxh64_intdigest(t) for t in set(codes)}
-    hashes = np.array([names[t] for t in codes], np.uint64)
-    rolled = np.zeros(len(hashes) - RUN + 1, np.uint64)
-    for i in range(RUN):
-        rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + len(rolled)]
+    summed = np.r_[np.uint64(0), np.cumsum(hashes * _powers(_BASE, len(hashes)), dtype=np.uint64)]
+    rolled = (summed[run:] - summed[:-run]) * _powers(_BACK, n)
     rolled ^= rolled >> np.uint64(29)
-    if len(rolled) <= WINDOW:
-        return np.array([rolled.min()], np.uint64).view(np.int64)
-    kept = np.lib.stride_tricks.sliding_window_view(rolled, WINDOW).min(axis=1)
-    return np.unique(kept).view(np.int64)
+    at = np.lib.stride_tricks.sliding_window_view(rolled, min(window, n)).argmin(axis=1)
+    at = np.unique(at + np.arange(len(at)))
+    if telling is not None:
+        flags = np.r_[0, np.cumsum(telling)]
+        at = at[flags[at + run] - flags[at] >= least]
+    return np.unique(rolled[at]).view(np.int64)
+
+
+def fingerprints(text: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """Fingerprints of a text's tokens, those of its form, and the number of tokens."""
+    _, code = split_comments(text)
+    tokens = _TOKEN.findall(code)
+    kinds: dict[str, tuple[str, str]] = {}
+    for token in set(tokens):
+        first = token[0]
+        plain = "0" if first.isdigit() else '""' if first in "\"'" and len(token) > 1 else token
+        name = (first.isalpha() or first == "_") and token.lower() not in WORDS
+        kinds[token] = (plain, "w" if name else plain)
+    codes = {x: xxhash.xxh64_intdigest(x) for pair in kinds.values() for x in pair}
+    kept, form = (np.array([codes[kinds[t][i]] for t in tokens], np.uint64) for i in (0, 1))
+    names = np.array([kinds[t][1] == "w" for t in tokens], np.int64)
+    return winnow(kept, *TEXT, names, NAMES), winnow(form ^ np.uint64(1), *FORM), len(tokens)
+
+
+_READ = (
+    "path string, repo string, sign string, named array<string>, package string, versioned boolean, tokens int, "
+    "text array<long>, form array<long>"
+)
 
 
 def _read(own: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows: list[tuple] = []
             for path, text in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 if path is None or text is None or not text.strip():
                     continue
-                rows.append((path, repository(path), own_signs(path, text, own), fingerprints(text)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(pa.array([r[i] for r in rows], pa.string()) for i in range(3)),
-                    pa.array([r[3] for r in rows], pa.list_(pa.int64())),
-                ],
-                names=["path", "repo", "sign", "prints"],
-            )
+                sign, named = own_signs(text, own)
+                kept, form, tokens = fingerprints(text)
+                rows.append((path, repository(path), sign, named, *package(path), tokens, kept, form))
+            strings, longs = pa.list_(pa.string()), pa.list_(pa.int64())
+            types = [pa.string(), pa.string(), pa.string(), strings, pa.string(), pa.bool_(), pa.int32(), longs, longs]
+            names = [c.split()[0] for c in _READ.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
     return run
 
 
-def foreign_files(df: DataFrame, path: str, content: str, own: tuple[str, ...] = ()) -> DataFrame:
-    """``path, reason, recurring`` of every file with content; ``reason`` is null for hand-written ones.
+def _recurring(read: DataFrame) -> DataFrame:
+    """``row, text_shared, form_shared``: how many of a file's fingerprints at least ``OTHERS`` other repositories have."""
+    loose = read.select("row", "repo", F.lit("t").alias("kind"), F.explode("text").alias("print"))
+    loose = loose.unionByName(read.select("row", "repo", F.lit("f").alias("kind"), F.explode("form").alias("print")))
+    # files of a repository first, then repositories: no task receives all files of a fingerprint
+    by_repo = loose.groupBy("kind", "print", "repo").agg(F.count(F.lit(1)).alias("files"))
+    spread = by_repo.groupBy("kind", "print").agg(F.count(F.lit(1)).alias("repos"), F.sum("files").alias("files"))
+    spread = cut(spread.where(F.col("repos") > OTHERS).select(F.concat("kind", F.col("print").cast("string")).alias("key"), "files"))
+    total = read.agg(F.sum(F.size("text") + F.size("form"))).first()[0] or 0
+    keyed = loose.select("row", "kind", F.concat("kind", F.col("print").cast("string")).alias("key"))
+    shared = attach(keyed, spread, "key", "files", total)
+    return shared.groupBy("row").agg(F.count_if(F.col("kind") == "t").alias("text_shared"), F.count_if(F.col("kind") == "f").alias("form_shared"))
+
+
+def _packages(read: DataFrame) -> DataFrame:
+    """``row`` of the files in a package folder whose package is known to be foreign."""
+    inside = read.where("package is not null").select("row", "repo", "package", "versioned")
+    several = inside.groupBy("package").agg(F.count_distinct("repo").alias("repos"), F.max("versioned").alias("versioned"))
+    named = read.select(F.explode("named").alias("package"))
+    known = cut(several.where((F.col("repos") > OTHERS) | F.col("versioned")).select("package").unionByName(named).distinct())
+    return inside.join(small_side(known), "package", "left_semi").select("row")
+
+
+def foreign_files(df: DataFrame, path: str, content: str, own: tuple[str, ...] = (), signs: bool = True) -> DataFrame:
+    """``path, reason, evidence, recurring, form_recurring`` of every file with content; ``reason`` is null for hand-written ones.
 
-    ``recurring`` is the share of a file's fingerprints found in at least ``OTHERS`` other repositories. Null, empty
-    and blank contents and null paths are left out; a repeated path is judged row by row. A fingerprint held by very
-    many files is counted by repository in two steps, so no task receives all its files.
+    ``recurring`` and ``form_recurring`` are the shares of a file's fingerprints, of its text and of its form, found in
+    at least ``OTHERS`` other repositories. ``evidence`` says what decided: ``copy`` (the text recurs), ``form`` (the
+    form recurs), ``sign`` (the file's own signs) or ``package`` (its folder, confirmed). Without ``signs`` only
+    fingerprints decide. Null, empty and blank contents and null paths are left out; a repeated path is judged row by
+    row; other columns are not read.
     """
     source = df.select(F.col(path).cast("string").alias("path"), F.col(content).cast("string").alias("content"))
-    read = source.mapInArrow(_read(frozenset(map(str.lower, own))), "path string, repo string, sign string, prints array<long>")
-    read = cut(read)
-    prints = read.where("sign is null").select("path", "repo", F.explode("prints").alias("print"))
-    everywhere = read.select("repo", F.explode("prints").alias("print")).distinct()
-    spread = everywhere.groupBy("print").agg(F.count(F.lit(1)).alias("repos")).where(F.col("repos") > OTHERS)
-    shared = prints.join(spread, "print").groupBy("path").agg(F.count(F.lit(1)).alias("shared"))
-    judged = read.select("path", "sign", F.size("prints").alias("prints")).join(shared, "path", "left")
-    recurring = F.coalesce(F.try_divide(F.col("shared").cast("double"), F.col("prints")), F.lit(0.0))
-    copied = (recurring >= COPIED) & (F.col("prints") >= PRINTS)
-    return judged.select(
-        F.col("path").alias(path), F.coalesce("sign", F.when(copied, F.lit("vendored"))).alias("reason"), recurring.alias("recurring")
-    )
+    read = cut(source.mapInArrow(_read(frozenset(map(str.lower, own))), _READ).withColumn("row", F.monotonically_increasing_id()))
+    judged = read.select("row", "path", "sign", "tokens", F.size("text").alias("prints"), F.size("form").alias("forms"))
+    judged = judged.join(_recurring(read).hint("merge"), "row", "left")
+    share = lambda part, whole: F.coalesce(F.try_divide(F.col(part).cast("double"), F.col(whole)), F.lit(0.0))
+    judged = judged.withColumns({"recurring": share("text_shared", "prints"), "form_recurring": share("form_shared", "forms")})
+    copy = (F.col("recurring") >= COPIED) & (F.col("prints") >= PRINTS)
+    form = (F.col("form_recurring") >= COPIED) & (F.col("tokens") >= TOKENS)
+    evidence = F.when(copy, "copy").when(form, "form")
+    if signs:
+        judged = judged.join(_packages(read).withColumn("packaged", F.lit(True)).hint("merge"), "row", "left")
+        evidence = evidence.when(F.col("sign").isNotNull(), "sign").when(F.col("packaged"), "package")
+    made = F.col("sign") if signs else F.lit(None).cast("string")
+    made = F.coalesce(F.when(made != "vendored", made), F.lit("generated"))
+    reason = F.when(F.col("evidence").isin("copy", "package"), "vendored").when(F.col("evidence") == "form", made)
+    judged = judged.withColumn("evidence", evidence).withColumn("reason", reason.otherwise(F.col("sign")) if signs else reason)
+    return judged.select(F.col("path").alias(path), "reason", "evidence", "recurring", "form_recurring")

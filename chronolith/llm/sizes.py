@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 500_000
+#: a key of more than one of so many rows is hot; there are never more hot keys than this
+HOT = 10_000
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -14,3 +16,15 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     ``df`` should be checkpointed and narrow: it is counted, up to one row more than the limit.
     """
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def attach(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """``rows`` joined with ``facts`` on ``key``, whatever share of the rows a key holds.
+
+    ``facts`` has every key once and in ``weight`` how many of the ``total`` rows have it. Keys of more than one row in
+    ``HOT`` are broadcast: their weights add up to ``total`` at most, so there are at most ``HOT`` of them. The others
+    are joined by a shuffle in which no key is large.
+    """
+    hot = F.col(weight) > total / HOT
+    near = rows.join(F.broadcast(facts.where(hot)), key)
+    return near.unionByName(rows.join(facts.where(~hot).hint("merge"), key))
