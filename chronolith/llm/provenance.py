@@ -124,12 +124,11 @@ def foreign_notices(head: str, own: frozenset[str] = frozenset()) -> tuple[bool,
     return found, sorted(named)
 
 
-def own_signs(text: str, own: frozenset[str] = frozenset()) -> tuple[str | None, list[str]]:
+def own_signs(head: str, code: str, own: frozenset[str] = frozenset()) -> tuple[str | None, list[str]]:
     """``generated``, ``minified``, ``data`` or ``vendored`` if the text itself shows it, and the foreign names in its notices.
 
-    ``own`` are our own copyright holders.
+    The text comes as ``split_comments`` parts it; ``own`` are our own copyright holders.
     """
-    head, code = split_comments(text)
     foreign, named = foreign_notices(head, own)
     return _sign(head, code) or ("vendored" if foreign else None), named
 
@@ -141,7 +140,7 @@ def _sign(head: str, code: str) -> str | None:
     if not size:
         return None
     lines = code.split("\n")
-    blanks = sum(map(str.isspace, code)) / size
+    blanks = 1 - sum(map(len, code.split())) / size
     literal = sum(len(m[0]) for m in _LITERALS.finditer(code)) + sum(len(m[0]) for m in _ENCODED.finditer(code))
     if literal >= 0.6 * size and size >= 200:
         return "data"
@@ -153,8 +152,8 @@ def _sign(head: str, code: str) -> str | None:
         while run in numbers:
             run += 1
         shapes: dict[str, int] = {}
-        for line in lines:
-            shape = re.sub(r"\d+", "0", re.sub(r"[^\W\d]\w*", "w", line.strip()))
+        for line in re.sub(r"\d+", "0", re.sub(r"[^\W\d]\w*", "w", code)).split("\n"):
+            shape = line.strip()
             shapes[shape] = shapes.get(shape, 0) + 1
         top = sum(sorted(shapes.values(), reverse=True)[:4]) / len(lines)
         if run >= 6 and run * 6 >= len(lines) and top >= 0.6:
@@ -189,9 +188,8 @@ def winnow(hashes: np.ndarray, run: int, window: int, telling: np.ndarray | None
     return np.unique(rolled[at]).view(np.int64)
 
 
-def fingerprints(text: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """Fingerprints of a text's tokens, those of its form, and the number of tokens."""
-    _, code = split_comments(text)
+def fingerprints(code: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """Fingerprints of the tokens of code without comments, those of its form, and the number of tokens."""
     tokens = _TOKEN.findall(code)
     kinds: dict[str, tuple[str, str]] = {}
     for token in set(tokens):
@@ -218,8 +216,9 @@ def _read(own: frozenset[str]):
             for path, text in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 if path is None or text is None or not text.strip():
                     continue
-                sign, named = own_signs(text, own)
-                kept, form, tokens = fingerprints(text)
+                head, code = split_comments(text)
+                sign, named = own_signs(head, code, own)
+                kept, form, tokens = fingerprints(code)
                 rows.append((path, repository(path), sign, named, *package(path), tokens, kept, form))
             strings, longs = pa.list_(pa.string()), pa.list_(pa.int64())
             types = [pa.string(), pa.string(), pa.string(), strings, pa.string(), pa.bool_(), pa.int32(), longs, longs]
