@@ -180,7 +180,9 @@ SENTENCES = ["The cache of {0} stays empty until {1} has been flushed twice.", "
 NAMES = "slider gateway broker planner widget mutex codec ledger".split()
 
 
-def test_truncation(spark):
+@pytest.mark.parametrize("sample", [tr.SAMPLE, 40_000])
+def test_truncation(spark, monkeypatch, sample):
+    monkeypatch.setattr(tr, "SAMPLE", sample)
     rng = random.Random(7)
     line = lambda: rng.choice(SENTENCES).format(rng.choice(NAMES), rng.choice(NAMES))
     rows, want = [], set()
@@ -203,3 +205,32 @@ def test_truncation(spark):
     found = {k for k, cut in got.items() if cut and k < 2000}
     assert len(found & want) >= 0.95 * len(want) and len(found - want) <= 0.02 * len(rows)
     assert tr.score_endings(df.limit(0), "doc_id", "text", "lang").count() == 0
+
+
+def test_a_stop_that_never_closes_anything_is_a_cut(spark):
+    rng = random.Random(8)
+    lines = ["Die Werte sind klein, z. B. bei null, wie hier.", "Er prüft alles, z. B. die Länge.", "Das ist gut.", "Wir warten auf den Lauf."]
+    rows = [(k, " ".join(rng.choice(lines) for _ in range(6)), "de") for k in range(400)]
+    rows += [(1000, "Das ist gut. Er prüft alles, z. B.", "de"), (1001, "Das ist ganz neu!", "de"), (1002, "https://host.example/a/b?", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id for r in tr.score_endings(df, "doc_id", "text", "lang").where("truncated").collect()}
+    assert got == {1000}
+
+
+def test_a_rare_language_is_drawn_towards_all(spark):
+    """A language of few endings is judged nearly as the corpus, one of many by itself; nothing depends on how many languages there are."""
+    rng = random.Random(9)
+    text = lambda cut: (" ".join(rng.choice(SENTENCES).format(rng.choice(NAMES), rng.choice(NAMES)) for _ in range(4)))[: -9 if cut else -1]
+    rows = [(k, text(k % 2 == 0), "en" if k < 800 else f"l{k}") for k in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.truncated for r in tr.score_endings(df, "doc_id", "text", "lang").collect()}
+    for low, high in ((0, 800), (800, 1200)):
+        found, want = {k for k in range(low, high) if got[k]}, {k for k in range(low, high) if k % 2 == 0}
+        assert len(found & want) >= 0.95 * len(want) and len(found - want) <= 0.05 * len(want)
+
+
+def test_final_keys_equal_those_of_a_scan():
+    texts = ["x", "abcdefgh ij", "ab" * 30, "日本語のテキスト、です"]
+    for text, keys in zip(texts, tr._final_keys(texts, [False] * 4), strict=True):
+        whole = {order: int(h[-1].view(np.int64)) for order, h in tr._hashes(tr._points(text))}
+        assert keys == [whole.get(order) if len(text) >= order else None for order in tr.ORDERS]
