@@ -25,13 +25,15 @@ LOOK_ALIKES = dict(
 )
 # Digits as words.
 DIGITS = dict(zip("zero oh one two three four five six seven eight nine".split(), "00123456789", strict=True))
+#: the longest local part that a mail address may have
+MOST_LOCAL = 64
 INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 
 _WORD_DIGIT = "|".join(DIGITS)
 _SPELLED = re.compile(rf"\b(?:{_WORD_DIGIT})(?:[\s-]+(?:{_WORD_DIGIT})){{5,}}\b", re.I)
-_BRACKET_AT = re.compile(r"\s*[\[({<]\s*at\s*[\])}>]\s*", re.I)
-_BRACKET_DOT = re.compile(r"\s*[\[({<]\s*dot\s*[\])}>]\s*", re.I)
-_BARE = re.compile(r"\b[\w+-]+(?: dot [\w+-]+)* at [\w-]+(?: dot [\w-]+)+", re.I)
+_BRACKET_AT = re.compile(r"(?<!\s)\s*[\[({<]\s*at\s*[\])}>]\s*", re.I)
+_BRACKET_DOT = re.compile(r"(?<!\s)\s*[\[({<]\s*dot\s*[\])}>]\s*", re.I)
+_BARE = re.compile(r"(?<![\w+-])[\w+-]+(?: dot [\w+-]+)* at [\w-]+(?: dot [\w-]+)+", re.I)
 _BARE_PART = re.compile(r" (at|dot) ", re.I)
 _HINT = re.compile(r"\b(?:at|dot)\b", re.I)
 
@@ -119,7 +121,7 @@ def normalise(text: str) -> Normal:
     return normal
 
 
-_EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%'-]*\w@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])")
+_EMAIL = re.compile(r"(?<![\w.+%'-])[\w.+%'-]*\w@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])")
 _SERVICE = re.compile(
     r"(?:^|[._-])(?:no-?reply|do-?not-?reply|mailer-daemon|postmaster|announce|bot|bots|git|hg|svn|build|builds|ops|ci|root|list|lists|"
     r"security-alerts|notifications?|jira|jenkins)(?:[._+-]|@)|@(?:[\w-]+\.)*(?:noreply|lists?|bots?|git|groups|notifications)\.|(?:^|-)team@",
@@ -127,7 +129,7 @@ _SERVICE = re.compile(
 )
 
 _U = "A-ZÀ-ÖØ-ÞĀĂĄĆĈĊČĎĐĒĔĖĘĚĜĞĠĢĤĦĨĪĬĮİĴĶĹĻĽĿŁŃŅŇŊŌŎŐŒŔŖŘŚŜŞŠŢŤŦŨŪŬŮŰŲŴŶŸŹŻŽ"
-_W = rf"[{_U}][\w'’]*(?:-[{_U}]?[\w'’]+)*"
+_W = rf"[{_U}][\w'’]*(?:-[\w'’]+)*"
 _TOWN = rf"{_W}(?: {_W})?"
 _POST = r"(?: [A-Z]{1,2}\d[A-Z\d]?(?: \d[A-Z]{2})?)?"
 _STREET = r"(?:Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Boulevard|Blvd|Drive|Dr|Way|Court|Ct|Place|Pl|Square|Sq|Terrace|Close|Crescent|Row)"
@@ -148,7 +150,7 @@ _ID = re.compile(
 _ANNOUNCED = re.compile(
     r"\b(?:SSN|social security(?: (?:no\.?|number|nr\.?|#))?|national id(?:entity)?(?: (?:no\.?|number|card))?|tax (?:id|number|no\.?)|passport(?: (?:no\.?|number))?|"
     r"(?:national )?insurance (?:no\.?|number)|NI (?:no\.?|number)|NINO|identity (?:card|number|no\.?)|id (?:card|number|no\.?)|driver'?s licen[cs]e(?: (?:no\.?|number))?|"
-    r"personal (?:id|number)|Steuer-?ID|DNI|NIE)(?: is|:|=|#)? *(?P<id>(?=(?:[^\s.,;]*[\s-]?){0,5}?\d)[A-Z0-9]+(?:[ -](?=[A-Z0-9 -]*\d|[A-Z]\b)[A-Z0-9]+){0,5})",
+    r"personal (?:id|number)|Steuer-?ID|DNI|NIE)(?: is|:|=|#)? *(?P<id>[A-Z0-9]+(?:[ -](?=[A-Z0-9 -]*\d|[A-Z]\b)[A-Z0-9]+){0,5})",
     re.I,
 )
 
@@ -167,7 +169,7 @@ _ANNOUNCED_PHONE = re.compile(r"\b(?:tel(?:ephone)?|phone|mobile|cell|fax|call|d
 _TITLE = r"(?:(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Mme|M)\.? )?"
 _INITIALS = r"[A-Z](?:\.? ?[A-Z])?\."
 _NAME = (
-    rf"(?P<name>(?:{_INITIALS}|[A-Z]{{1,2}}|{_W})(?: (?:{_INITIALS}|[A-Z]\.?|van|von|de|der|den|da|di|la|le|bin|al))* {_W}"
+    rf"(?P<name>(?:{_INITIALS}|[A-Z]{{1,2}}|{_W})(?: (?:{_INITIALS}|[A-Z]\.?|van|von|de|der|den|da|di|la|le|bin|al)){{0,4}} {_W}"
     rf"|{_W}, (?:{_W}|{_INITIALS})(?: [A-Z]\.)?)"
 )
 _CUES = (
@@ -179,18 +181,48 @@ _CUED = re.compile(rf"(?<!\w){_CUES} {_TITLE}{_NAME}(?![\w@])")
 _TRAILER = re.compile(rf"^[ \t]*(?:[-*] )?(?:[A-Z][A-Za-z]*(?:-[A-Za-z]+)*-(?:[Bb]y|[Tt]o)|[Cc][Cc]|[Tt]o|[Aa]uthor|[Ff]rom|[Cc]ommitter): *{_TITLE}{_NAME}[ \t]*(?=<|\(|$|\r|,|[.;] )", re.M)
 _NEAR_MAIL = re.compile(rf"(?:^|(?<=[,;\s])){_NAME}[ \t]+<[^<>\s]*@")
 _IN_BRACKETS = re.compile(rf"@[\w.-]+ \({_NAME}\)")
+# Words that make a name one of a group, a product or no name at all.
 _NOT_PEOPLE = re.compile(
     r"\b(?:Team|Group|Guild|Bot|Build|Platform|Project|Foundation|Inc|Ltd|GmbH|LLC|Corp|Company|Department|Committee|Support|Router|Server|Service|Release|"
     r"Runtime|Tooling|Frontend|Backend|System|Security|Engineering|Infrastructure|Maintainers|Community|The|This|That|It|We|If|When|With|Without|Add|Fix|Update|Remove|"
-    r"Refactor|Merge|Revert|Use|Make|Move|Rename|Both|Some|Only|Previously|Benchmarks|Tests|Note|Callers|Lane)\b"
+    r"Refactor|Merge|Revert|Use|Make|Move|Rename|Both|Some|Only|Previously)\b"
 )
-_DIGIT, _CAPITAL_CUE = re.compile(r"\d"), re.compile(_CUES)
+_WORD = re.compile(rf"(?<![\w@.+-]){_W}(?![\w@])")
+_DIGIT = re.compile(r"\d")
+
+
+def _plain(word: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if c.isalpha() and not unicodedata.combining(c))
+
+
+def _addressed(text: str, addresses: list[str]) -> Iterator[tuple[int, int]]:
+    """Two capitalised words, wherever they stand, of which an address in the same text is made: its owner's name."""
+    words = [(m.start(), m.end(), _plain(m[0])) for m in _WORD.finditer(text)]
+    long = {w for _, _, w in words if len(w) >= 4}
+    # family name -> what is left of the local parts that hold it
+    rest: dict[str, set[str]] = {}
+    for local in {_plain(a.partition("@")[0]) for a in addresses}:
+        for i in range(len(local) - 3 if len(local) <= MOST_LOCAL else 0):
+            for j in range(i + 4, len(local) + 1):
+                if local[i:j] in long:
+                    rest.setdefault(local[i:j], set()).add(local[:i] + local[j:])
+    if not rest:
+        return
+    for (begin, end, first), (after, last, second) in zip(words, words[1:], strict=False):
+        if not (second in rest or first in rest) or after - end > 4 or not re.fullmatch(r" (?:[A-Z]\.? )?", text[end:after]):
+            continue
+        for family, given in ((second, first), (first, second)):
+            if any(given[:k] in rest.get(family, ()) for k in range(1, len(given) + 1)):
+                yield begin, last
+                break
 
 
 def _details(text: str) -> Iterator[tuple[str, int, int]]:
     """(kind, begin, end) of everything found in a normalised text; may overlap, earlier kinds come first."""
+    addresses = []
     if "@" in text:
         for m in _EMAIL.finditer(text):
+            addresses.append(m[0])
             begin = m.start()
             value = m[0].lstrip("'.-")
             begin = m.end() - len(value)
@@ -216,6 +248,10 @@ def _details(text: str) -> Iterator[tuple[str, int, int]]:
         for m in pattern.finditer(text):
             if not _NOT_PEOPLE.search(m["name"]):
                 yield "name", m.start("name"), m.end("name")
+    if addresses:
+        for begin, end in _addressed(text, addresses):
+            if not _NOT_PEOPLE.search(text, begin, end):
+                yield "name", begin, end
 
 
 def find(text: str | None) -> list[tuple[str, int, int]]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from itertools import combinations
 
 import numpy as np
@@ -157,6 +158,28 @@ def test_personal_items(text, want):
     assert out is None if text is None else all(v not in out for _, v in want)
 
 
+HOSTILE = {
+    "apostrophes": "'" * 100_000 + "@", "blanks": "at " + " " * 100_000 + "x", "dashes": "at " + "a-" * 100_000, "letters": "SSN " + "a" * 100_000,
+    "announced": "SSN " + "a-" * 100_000, "initials": "@ " + "A " * 100_000, "hyphens": "thanks to " + "Aa-" * 50_000 + "!", "mails": "a@b." * 50_000,
+    "numbers": "+1 " * 100_000, "street": "12 " + "A" * 100_000, "names": "Aa Bb <" * 20_000 + "@", "commas": "Aa, " * 50_000 + "aa@bb.example",
+    "owners": " ".join(f"Smith Smith{'x' * (k % 40)} j{k}smith@b.example" for k in range(10_000)),
+}
+
+
+@pytest.mark.parametrize("kind", sorted(HOSTILE))
+def test_hostile_texts_take_linear_time(kind):
+    began = time.process_time()
+    pii.find(HOSTILE[kind])
+    assert time.process_time() - began < 4
+
+
+def test_an_address_names_its_owner_without_a_cue():
+    text = "Zoë Caldestaro saw it first, then Tom Mann too. Questions: zoe.caldestaro@corp.example"
+    assert [(k, text[a:b]) for k, a, b in pii.find(text)] == [("name", "Zoë Caldestaro"), ("email", "zoe.caldestaro@corp.example")]
+    text = "Quorum Builder broke. Ann Lee wrote to builder@corp.example"
+    assert [(k, text[a:b]) for k, a, b in pii.find(text)] == [("email", "builder@corp.example")]
+
+
 def test_address_field():
     show = lambda t: [(k, t[b:e]) for k, b, e in pii.find_in_address_field(t)]
     assert show("ann@x.example") == show(" ann@x.example ") == []
