@@ -127,18 +127,78 @@ PEOPLE = {
 }
 
 
+FORMS = {"patricia": ["pat"], "robert": ["bob", "rob"], "theodore": ["theo"], "ilse": [], "zoe": [], "rebecca": []}
+
+
+def teaching(forms, first_id=10_000):
+    """Rows that show given names and their forms: each beside three family names that no other row has."""
+    rows = []
+    for name, others in forms.items():
+        for k, tail in enumerate(("quorv", "zeltim", "bructo")):
+            family = f"{name[::-1]}{tail}"
+            rows.append((first_id + len(rows), f"{name} {family}".title(), f"{name[0]}{family}@corp{k}.example"))
+            for short in others:
+                rows.append((first_id + len(rows), f"{short} {family}".title(), f"{name}.{family}@home{k}.example"))
+    return rows
+
+
+def _linked(spark, rows, forms=FORMS):
+    df = spark.createDataFrame(rows + teaching(forms), "author_id long, name string, email string")
+    pairs = nm.entity_pairs(nm.link_names(df, "author_id", "name", "email"), "author_id").collect()
+    return {(r.author_id_a, r.author_id_b) for r in pairs if r.author_id_a < 10_000}
+
+
 def test_names(spark):
-    rows = [(i, n, e, "x") for group in PEOPLE.values() for i, n, e in group]
-    df = spark.createDataFrame(rows, "author_id long, name string, email string, family string")
-    got = {(r.author_id_a, r.author_id_b) for r in nm.entity_pairs(nm.link_names(df, "author_id", "name", "email"), "author_id").collect()}
+    rows = [(i, n, e) for group in PEOPLE.values() for i, n, e in group]
     want = {p for group in PEOPLE.values() for p in combinations(sorted(i for i, _, _ in group), 2)}
-    assert got == want
+    assert _linked(spark, rows) == want
+
+
+def test_other_columns_are_not_read(spark):
+    df = spark.createDataFrame([(1, "Ann Lee", "ann.lee@a.example", "x", "y"), (2, "Ann Lee", None, None, "z")], "author_id long, name string, email string, family string, row string")
+    assert {r.entity for r in nm.link_names(df, "author_id", "name", "email").collect()} == {1}
+
+
+def _slipped(rng, word):
+    k = rng.randrange(1, len(word) - 1)
+    return rng.choice([word[:k] + word[k + 1 :], word[:k] + word[k + 1] + word[k] + word[k + 2 :], word[:k] + word[k] * 2 + word[k + 1 :]])
+
+
+def test_people_of_names_in_no_list(spark):
+    """Invented given names and forms: what they are is learned from the rows themselves."""
+    rng = random.Random(14)
+    syllables = "ka lo mi tru ven sor dal hup nek tis bra jol wim fad".split()
+    word = lambda n: "".join(rng.choice(syllables) for _ in range(n))
+    given = {word(3): [word(2)[:4]] for _ in range(12)}
+    families = [word(4) + "x" for _ in range(160)]
+    rows, people = [], {}
+    for k, family in enumerate(families):
+        name = rng.choice(sorted(given))
+        short, fam, low = rng.choice(given[name]).title(), family.title(), name.title()
+        ways = [
+            (f"{low} {fam}", f"{name[0]}{family}@corp.example"), (f"{low} {fam}", f"{name}.{family}@corp.example"), (f"{short} {fam}", f"{name}.{family}@home.example"),
+            (f"{fam}, {low}", None), (f"{name[0].upper()}. {fam}", None), (f"{name[0]}{family}", f"{name[0]}{family}@mail.example"), (f"{low} {_slipped(rng, fam.lower()).title()}", None),
+            (f"{short} {fam}", None), (f"{fam} {low}", f"{family}@x{k}.example"),
+        ]
+        for n, e in rng.sample(ways, 4):
+            people[len(rows)] = k
+            rows.append((len(rows), n, e))
+    want = {(a, b) for a, b in combinations(people, 2) if people[a] == people[b]}
+    got = _linked(spark, rows, {})
+    assert len(got & want) >= 0.93 * len(want) and len(got - want) <= 0.01 * len(want)
+    assert {r.word for r in nm.lexicon(spark.createDataFrame(rows, "id long, name string, email string").select("name", "email")).collect()} >= set(given)
+
+
+@pytest.mark.parametrize("most", [1, 500_000])
+def test_a_lexicon_of_any_size_gives_the_same(spark, monkeypatch, most):
+    monkeypatch.setattr(nm, "small_side", lambda df: sizes.small_side(df, most))
+    rows = [(1, "Bob Fenandt", None), (2, "Robert Fenandt", None), (3, "Rob Fenandt", "x@y.example"), (4, "Zoe Fenandt", None), (4, "Zoe Fenandt", None)]
+    assert _linked(spark, rows) == {(1, 2), (1, 3), (2, 3)}
 
 
 def test_an_initial_that_fits_two_people_links_neither(spark):
     rows = [(1, "Rebecca Ulvoc", "rebecca@ulvoc.example"), (2, "Robert Ulvoc", "robert@ulvoc.example"), (3, "R. Ulvoc", "ru@x.example")]
-    df = spark.createDataFrame(rows, "author_id long, name string, email string")
-    assert nm.link_names(df, "author_id", "name", "email").count() == 0
+    assert _linked(spark, rows) == set()
 
 
 def test_no_names(spark):
@@ -148,14 +208,7 @@ def test_no_names(spark):
 
 def test_a_block_larger_than_the_limit_loses_no_whole_name(spark, monkeypatch):
     monkeypatch.setattr(nm, "MOST_ROWS", 2)
-    rows = [(k, "Robert Fenandt", f"x{k}@mail.example") for k in range(9)]
-    df = spark.createDataFrame(rows, "author_id long, name string, email string")
-    assert nm.entity_pairs(nm.link_names(df, "author_id", "name", "email"), "author_id").count() == 36
-
-
-def _linked(spark, rows):
-    df = spark.createDataFrame(rows, "author_id long, name string, email string")
-    return {(r.author_id_a, r.author_id_b) for r in nm.entity_pairs(nm.link_names(df, "author_id", "name", "email"), "author_id").collect()}
+    assert len(_linked(spark, [(k, "Robert Fenandt", f"x{k}@mail.example") for k in range(9)], {})) == 36
 
 
 @pytest.mark.parametrize("most", [2, 60])
@@ -179,8 +232,9 @@ def test_blocks_hold_every_pair_the_comparison_accepts(spark, monkeypatch):
         f, g = rng.choice(families), rng.choice(given)
         name = rng.choice([f"{g} {f}", f"{f}, {g}", f"{g[0]}{f}".lower(), f"{f} Runtime Team", f"The Team {f} Labs", f"{f.lower()}-bot", g])
         rows.append((k, name, rng.choice([None, f"{g[0]}{f}@x.example".lower(), f"{g}.{f}@y.example".lower().replace("..", "."), f"{g}@{f}.example".lower().replace(".@", "@")])))
-    df = spark.createDataFrame(rows, "id long, name string, email string")
-    readings = nm._readings(df.mapInPandas(nm._read, f"id long, {nm.READING}")).checkpoint()
+    df = spark.createDataFrame(rows + teaching(FORMS), "id long, name string, email string")
+    found = nm._with_names(df, nm.lexicon(df)).where("id < 10000")
+    readings = nm._readings(found.mapInPandas(nm._read, f"id long, {nm.READING}")).checkpoint()
     own = {r.reading: {**r.asDict(), "least": None} for r in readings.collect()}
     want = {(a, b) for a in own for b in own if (a < b or a == b and own[a]["n"] > 1) and nm.compare(own[a], own[b])}
     met = {(r.a, r.b) for r in nm._pairs(readings).collect()}
