@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm.mixing import mix, reached
+from chronolith.llm.mixing import available, capacity, mix, reached, wanted, water_fill
 from chronolith.llm.provenance import foreign_files
 from chronolith.llm.tokens import token_counts, token_ids
 from chronolith.llm.truncation import score_endings
@@ -20,9 +20,13 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: the share of its capacity to which the capped mixture is filled: some sources are clamped there, others not
+FILL = 0.6
+
+
+def _mixed(spark: SparkSession, sf_dir: str, fill: float | None = None) -> DataFrame:
     sized = cut(token_counts(table(spark, sf_dir, "documents"), ["doc_id", "source"], "text"))
-    return mix(sized, table(spark, sf_dir, "mix_targets"), "doc_id", "source", "n_tokens")
+    return mix(sized, table(spark, sf_dir, "mix_targets"), "doc_id", "source", "n_tokens", fill)
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +39,30 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reached(_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets"), "source", "n_tokens")
 
 
+def p9_capped_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of a larger mixture, in which sources at their most repeats leave the rest to the others."""
+    return reached(_mixed(spark, sf_dir, FILL), table(spark, sf_dir, "mix_targets"), "source", "n_tokens")
+
+
+def p9_capped_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each source is to give to a mixture filled to ``FILL``, in code points; clamped sources give all they may."""
+    targets = wanted(table(spark, sf_dir, "mix_targets"))
+    sizes = available(table(spark, sf_dir, "documents"), targets, "source", "n_chars")
+    given = water_fill(sizes, targets, FILL * capacity(sizes, targets))
+    rows = [(t.source, sizes.get(t.source, 0) * t.max_repeats, round(given[t.source], 3), given[t.source] >= sizes.get(t.source, 0) * t.max_repeats) for t in targets]
+    return spark.createDataFrame(rows, "source string, most long, given double, clamped boolean")
+
+
+def p9_capped_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every source of such a mixture really gives its size, to within its longest document."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    used = reached(mix(documents, table(spark, sf_dir, "mix_targets"), "doc_id", "source", "n_chars", FILL), table(spark, sf_dir, "mix_targets"), "source", "n_chars")
+    longest = documents.groupBy("source").agg(F.max("n_chars").alias("longest"))
+    rows = p9_capped_plan(spark, sf_dir).join(used.select("source", "size_used", "most_repeats", "max_repeats"), "source").join(longest, "source", "left")
+    near = (F.col("given") - F.col("size_used")).between(F.lit(-0.01), F.coalesce("longest", F.lit(0)))
+    return rows.select("source", F.col("clamped"), near.alias("met"), (F.col("most_repeats") <= F.col("max_repeats")).alias("within_repeats"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose text stops before the writer's end."""
     return score_endings(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").where("truncated").select("doc_id")
@@ -91,6 +119,20 @@ def p2_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found, "p2_planted": p2_planted,
     "p2_files": p2_files,
-    "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_by_source": p10_by_source,
+    "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares,
+    "p9_capped_shares": p9_capped_shares, "p9_capped_plan": p9_capped_plan, "p9_capped_sizes": p9_capped_sizes, "p10_found": p10_found, "p10_by_source": p10_by_source,
+}
+_FILLED = f"""
+with recursive a as (select source, sum(n_chars) as n from documents where n_chars > 0 group by source),
+t as (select source, target_share, cast(coalesce(n, 0) * max_repeats as bigint) as most from mix_targets left join a using (source)),
+w as (select 0 as step, source, target_share, most, {FILL} * sum(most) over () as total, cast(case when most = 0 then 0 end as double) as given from t
+  union all
+  select step + 1, source, target_share, most, total, case when given is not null then given when (total - coalesce(sum(given) over (), 0)) * target_share
+    / sum(case when given is null then target_share end) over () >= most then most end from w where step < 20),
+g as (select source, most, coalesce(given, (total - coalesce(sum(given) over (), 0)) * target_share / sum(case when given is null then target_share end) over ()) as given
+  from w where step = 20)
+"""
+ORACLES = {
+    "p9_capped_plan": _FILLED + "select source, most, round(given, 3) as given, given >= most as clamped from g",
+    "p9_capped_sizes": _FILLED + "select source, given >= most as clamped, true as met, true as within_repeats from g",
 }
-ORACLES: dict[str, str] = {}

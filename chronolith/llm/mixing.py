@@ -51,27 +51,43 @@ def water_fill(available: dict[str, int], targets: list[Target], total: float |
     return given
 
 
-def mix(sized: DataFrame, targets: DataFrame, key: str, source: str, size: str, total: float | None = None, seed: int = 17):
+def wanted(targets: DataFrame) -> list[Target]:
+    """The named targets; a null share or number of repeats counts as 0."""
+    rows = targets.select("source", "target_share", "max_repeats").limit(MOST_SOURCES + 1).collect()
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} targets")
+    return [Target(r.source, r.target_share or 0.0, r.max_repeats or 0) for r in rows if r.source is not None]
+
+
+def available(sized: DataFrame, targets: list[Target], source: str, size: str) -> dict[str, int]:
+    """The size that each target has; targets without rows are left out."""
+    named = sized.where((F.col(size) > 0) & F.col(source).isin([t.source for t in targets]))
+    return {r[source]: r["size"] for r in named.groupBy(source).agg(F.sum(size).alias("size")).collect()}
+
+
+def capacity(sizes: dict[str, int], targets: list[Target]) -> int:
+    """The size of a mixture in which every source with a share gives all it may."""
+    return sum(sizes.get(t.source, 0) * max(t.max_repeats, 0) for t in targets if t.share > 0)
+
+
+def mix(sized: DataFrame, targets: DataFrame, key: str, source: str, size: str, fill: float | None = None, seed: int = 17):
     """Rows of ``sized`` with ``repeats``, the times each is used, so that sources reach their shares of the size.
 
     ``targets`` has source, target_share and max_repeats. Returns ``key, source, size, repeats`` of the rows used at
     least once. Rows of size 0 or null, and rows whose source is null or has no target, are never used. The
     fractional pass takes rows in the order of a seeded hash of the key while they fit: the order's 65,536 slots are
     summed first, and only the slot in which a source's share ends is looked at row by row, so that no source is ever
-    ranked as a whole. Shares are thus met to within one row. Pass ``sized`` checkpointed, it is read three times.
+    ranked as a whole. Shares are thus met to within one row. ``fill`` asks for a mixture of that share of the
+    ``capacity``, in which some sources are clamped; without it the mixture is the largest that meets all shares.
+    Pass ``sized`` checkpointed, it is read several times.
     """
-    rows = targets.select("source", "target_share", "max_repeats").limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} targets")
-    wanted = [Target(r.source, r.target_share or 0.0, r.max_repeats or 0) for r in rows if r.source is not None]
-    named = sized.where((F.col(size) > 0) & F.col(source).isin([t.source for t in wanted]))
+    targets = wanted(targets)
+    named = sized.where((F.col(size) > 0) & F.col(source).isin([t.source for t in targets]))
     named = named.select(key, source, size, F.xxhash64(F.lit(seed), key).alias("draw"))
     named = named.withColumn("slot", F.shiftrightunsigned("draw", 48))
-    available = {r[source]: r["size"] for r in named.groupBy(source).agg(F.sum(size).alias("size")).collect()}
-    given = water_fill(available, wanted, total)
-    plan = [
-        (s, int(given[s] / n + 1e-9), max(0.0, given[s] - int(given[s] / n + 1e-9) * n)) for s, n in available.items()
-    ]
+    sizes = available(sized, targets, source, size)
+    given = water_fill(sizes, targets, None if fill is None else fill * capacity(sizes, targets))
+    plan = [(s, int(given[s] / n + 1e-9), max(0.0, given[s] - int(given[s] / n + 1e-9) * n)) for s, n in sizes.items()]
     spark = sized.sparkSession
     passes = spark.createDataFrame(plan, "source string, whole int, budget double")
     slots = named.groupBy(source, "slot").agg(F.sum(size).alias("size"))

@@ -78,6 +78,11 @@ def test_mixture(spark):
     shares = {r.source: r.reached_share for r in mx.reached(used, targets, "origin", "tokens").collect()}
     assert shares == pytest.approx({"a": 0.5, "b": 0.3, "c": 0.2, "none": 0.0}, abs=0.003)
     assert sorted(map(str, used.collect())) == sorted(map(str, got)), "the same rows every time"
+    capped = mx.mix(sized, targets, "id", "origin", "tokens", fill=0.95)
+    capped = {r.source: (r.size_used, r.most_repeats) for r in mx.reached(capped, targets, "origin", "tokens").collect()}
+    sizes = {s: sum(t for _, o, t in rows if o == s) for s in "abc"}
+    assert capped["c"] == (2 * sizes["c"], 2) and capped["b"] == (3 * sizes["b"], 3) or capped["a"] == (sizes["a"], 1), "at least one source is clamped"
+    assert sum(n for n, _ in capped.values()) == pytest.approx(0.95 * (sizes["a"] + 3 * sizes["b"] + 2 * sizes["c"]), abs=150)
     empty = mx.mix(sized.limit(0), targets, "id", "origin", "tokens")
     assert empty.count() == 0 and mx.reached(empty, targets, "origin", "tokens").first().size_used == 0
 
