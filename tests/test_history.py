@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chronolith import schema
 from chronolith.operators import history as hs
 from chronolith.operators import views as vw
+from chronolith.operators import treeagg as tg
 from chronolith.operators.treeagg import hot_keys, tree_aggregate
 from chronolith.options import Options
 
@@ -38,6 +39,20 @@ def test_tree_aggregate_equals_group_by(spark):
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_rounds_follow_the_chunks_of_the_input(spark):
+    """A scan of 600 splits gets four rounds of fan-in 5 although a shuffle has 4 partitions; a round is one exchange."""
+    df = spark.range(0, 6000, 1, 600).selectExpr("if(id % 3 = 0, 'hot', cast(id as string)) as k", "id as v")
+    assert tg.input_chunks(df) == 600 and tg.input_chunks(df.repartition(32, "k")) == 32
+    assert [tg.rounds_for(n, 5) for n in (1, 5, 6, 25, 26, 600)] == [1, 1, 2, 2, 3, 4]
+    out = tg.tree_aggregate(df, ["k"], {"n": ("count", "v"), "s": ("sum", "v")}, fan_in=5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 4
+    assert out.where("k = 'hot'").first().asDict() == {"k": "hot", "n": 2000, "s": sum(range(0, 6000, 3))}
+    assert out.count() == 4001
+    flat = tg.tree_aggregate(df, ["k"], {"n": ("count", "v")}, fan_in=2, chunks=16)
+    assert flat._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 4
+
+
 def test_tree_aggregate_edges(spark):
     empty = spark.createDataFrame([], "k string, v long")
     assert tree_aggregate(empty, ["k"], {"n": ("count", "v")}).count() == 0
