@@ -30,13 +30,12 @@ def first_line(message: Column) -> Column:
     return F.element_at(F.split(F.coalesce(message, F.lit("")), r"\r?\n", 2), 1)
 
 
-def people(authors: Column) -> Column:
-    """``Unknown``, up to three names, or two names and how many more there are."""
-    names = F.array_sort(authors)
+def people(first: Column, count: Column) -> Column:
+    """``Unknown``, up to three names, or two names and how many more there are; ``first`` holds the first three names."""
     return (
-        F.when(authors.isNull() | (F.size(authors) == 0), F.lit("Unknown"))
-        .when(F.size(authors) <= 3, F.array_join(names, ", "))
-        .otherwise(F.concat(F.array_join(F.slice(names, 1, 2), ", "), F.lit(" and "), F.size(authors) - 2, F.lit(" more")))
+        F.when(first.isNull() | (F.size(first) == 0), F.lit("Unknown"))
+        .when(count <= 3, F.array_join(first, ", "))
+        .otherwise(F.concat(F.array_join(F.slice(first, 1, 2), ", "), F.lit(" and "), count - 2, F.lit(" more")))
     )
 
 

@@ -355,14 +355,26 @@ def high_complexity(metrics: DataFrame) -> DataFrame:
 
 
 def risk_factors(metrics: DataFrame) -> DataFrame:
-    """Files that are too complex (above 15, high above 25) or nested too deeply (above 5); a file may be both."""
+    """Files that are too complex (above 15, high above 25) or nested too deeply (above 5); a file may be both.
+
+    With what is wrong in words and what to do about it; whole numbers are shown without a decimal point.
+    """
+    score = F.regexp_replace(F.col("cyclomatic_complexity").cast("string"), r"\.0$", "")
     branching = metrics.where("cyclomatic_complexity > 15").select(
         "path",
         F.lit("HighComplexity").alias("factor_type"),
         F.when(F.col("cyclomatic_complexity") > 25, "High").otherwise("Medium").alias("severity"),
+        F.concat(F.lit("File "), "path", F.lit(" has high cyclomatic complexity ("), score, F.lit(")")).alias("description"),
+        F.array("path").alias("affected_files"),
+        F.lit("Consider refactoring to reduce complexity").alias("recommendation"),
     )
     nesting = metrics.where("nesting_depth > 5").select(
-        "path", F.lit("DeepNesting").alias("factor_type"), F.lit("Medium").alias("severity")
+        "path",
+        F.lit("DeepNesting").alias("factor_type"),
+        F.lit("Medium").alias("severity"),
+        F.concat(F.lit("File "), "path", F.lit(" has deep nesting (depth: "), F.col("nesting_depth").cast("string"), F.lit(")")).alias("description"),
+        F.array("path").alias("affected_files"),
+        F.lit("Consider extracting nested logic into separate functions").alias("recommendation"),
     )
     return branching.unionByName(nesting)
 
@@ -392,3 +404,8 @@ def language_stats(files: DataFrame) -> DataFrame:
     )
     total = counted.agg(F.sum("lines")).scalar()
     return out.withColumn("line_percent", F.round(F.coalesce(F.try_divide(F.col("lines") * 100.0, total), F.lit(0.0)), 1))
+
+
+def language_totals(stats: DataFrame) -> DataFrame:
+    """One row: all lines and all files of ``language_stats``."""
+    return stats.agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("total_lines"), F.coalesce(F.sum("files"), F.lit(0)).alias("total_files"))

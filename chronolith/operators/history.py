@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolith.functions.paths import author_key
-from chronolith.operators.treeagg import tree_aggregate
 from chronolith.options import DEFAULT, Options
+from chronolith.session import cut
 
 
 def newest_commits(commits: DataFrame, options: Options = DEFAULT) -> DataFrame:
@@ -43,19 +43,15 @@ def author_stats(commits: DataFrame, files: DataFrame) -> DataFrame:
         "commit_id", F.coalesce("author", F.lit("")).alias("name"), F.coalesce("author_email", F.lit("")).alias("email"),
         "insertions", "deletions", "authored_date",
     )
-    sums = tree_aggregate(
-        named,
-        ["name", "email"],
-        {
-            "commits": ("count", "commit_id"),
-            "lines_added": ("sum", "insertions"),
-            "lines_removed": ("sum", "deletions"),
-            "first_commit": ("min", "authored_date"),
-            "last_commit": ("max", "authored_date"),
-        },
+    sums = named.groupBy("name", "email").agg(
+        F.count("commit_id").alias("commits"),
+        F.sum("insertions").alias("lines_added"),
+        F.sum("deletions").alias("lines_removed"),
+        F.min("authored_date").alias("first_commit"),
+        F.max("authored_date").alias("last_commit"),
     )
     touched = files.join(named.select("commit_id", "name", "email"), "commit_id").select("name", "email", "path").distinct()
-    touched = tree_aggregate(touched, ["name", "email"], {"files_touched": ("count", "path")})
+    touched = touched.groupBy("name", "email").agg(F.count("path").alias("files_touched"))
     return sums.join(touched, ["name", "email"], "left").fillna(0, ["files_touched", "lines_added", "lines_removed"])
 
 
@@ -66,19 +62,14 @@ def file_history(commits: DataFrame, files: DataFrame) -> DataFrame:
     """
     dated = files.join(commits.select("commit_id", "author", "authored_date", "committed_date"), "commit_id")
     stamp = F.struct(F.coalesce("committed_date", F.timestamp_seconds(F.lit(0))).alias("at"), "commit_id")
-    base = tree_aggregate(
-        dated,
-        ["path"],
-        {
-            "total_changes": ("count", "commit_id"),
-            "first_commit": ("min", "authored_date"),
-            "last_commit": ("max", "authored_date"),
-            "newest": ("max", stamp),
-            "oldest": ("min", stamp),
-        },
+    base = dated.groupBy("path").agg(
+        F.count("commit_id").alias("total_changes"),
+        F.min("authored_date").alias("first_commit"),
+        F.max("authored_date").alias("last_commit"),
+        F.max(stamp).alias("newest"),
+        F.min(stamp).alias("oldest"),
     )
-    people = dated.select("path", "author").distinct()
-    people = tree_aggregate(people, ["path"], {"authors": ("count", "author"), "any_author": ("min", "author")})
+    people = dated.select("path", "author").distinct().groupBy("path").agg(F.count("author").alias("authors"), F.min("author").alias("any_author"))
     return base.join(people, "path").select(
         "path", "total_changes", "authors", "any_author", "first_commit", "last_commit",
         F.col("newest.commit_id").alias("recent_commit"), F.col("oldest.commit_id").alias("ref_recent_commit"),
@@ -100,13 +91,28 @@ def stale_files(history: DataFrame, options: Options = DEFAULT) -> DataFrame:
     return history.where(F.col("last_commit") < limit)
 
 
+def file_commits(commits: DataFrame, files: DataFrame) -> DataFrame:
+    """``path, commit_id, at``: the commit list of every file, as rows (a hot file's list has no limit); order by ``at`` to read one."""
+    return files.join(commits.select("commit_id", F.col("committed_date").alias("at")), "commit_id").select("path", "commit_id", "at")
+
+
 def high_churn_files(history: DataFrame) -> DataFrame:
     """The most changed tenth of the files, one at least; ties by path.
 
-    The number to keep is counted first; the selection is then a top-k, not a ranking in one task.
+    How many files have each number of changes says where the tenth ends: all files above that number are kept, and
+    only those of exactly that number are ordered, to keep the first of them.
     """
-    files = history.count()
-    return history.orderBy(F.desc("total_changes"), "path").limit(max(files // 10, 1))
+    history = cut(history)
+    counts = history.groupBy("total_changes").agg(F.count(F.lit(1)).alias("n"))
+    # as many rows as there are different numbers of changes: their sum bounds them
+    bars = counts.agg(F.sort_array(F.collect_list(F.struct("total_changes", "n")), asc=False).alias("bars"), F.sum("n").alias("files"))
+    walk = """aggregate(bars, struct(greatest(files div 10, 1L) as left, cast(null as bigint) as least),
+      (s, x) -> if(s.least is not null, s, if(x.n >= s.left, struct(s.left as left, x.total_changes as least), struct(s.left - x.n as left, cast(null as bigint) as least))))"""
+    found = bars.select(F.expr(walk).alias("s")).select("s.*").first()
+    if found is None or found["least"] is None:
+        return history.limit(0)
+    tied = history.where(F.col("total_changes") == found["least"]).orderBy("path").limit(found["left"])
+    return history.where(F.col("total_changes") > found["least"]).unionByName(tied)
 
 
 def top_contributors(authors: DataFrame, n: int = 5) -> DataFrame:

@@ -26,45 +26,56 @@ class Pattern:
     severity: str
     category: str
     cwe: str | None
-
-
-# Name | expression (case-insensitive, whole words) | severity | category | CWE.
-_TABLE = r"""
-Use After Free | use[-\s]after[-\s]free|uaf|dangling[-\s]pointer | Critical | MemorySafety | CWE-416
-Buffer Overflow | buffer[-\s]overflow|stack[-\s]overflow|heap[-\s]overflow|bof|ovflw|StackO | Critical | MemorySafety | CWE-120
-Double Free | double[-\s]free|free[-\s]after[-\s]free | High | MemorySafety | CWE-415
-Race Condition | race[-\s]condition|data[-\s]race|concurrency[-\s]bug | High | Concurrency | CWE-362
-Memory Leak | memory[-\s]leak|mem[-\s]leak|resource[-\s]leak | Medium | MemorySafety | CWE-401
-Null Pointer Dereference | null[-\s]pointer|nullptr[-\s]dereference|segfault|sigsegv | Medium | MemorySafety | CWE-476
-Code Injection | code[-\s]injection|command[-\s]injection|sql[-\s]injection|remote[-\s]code[-\s]execution|rce | Critical | CodeInjection | CWE-94
-Type confusion | type confusion|confused | Critical | CodeInjection | CWE-843
-Authentication Bypass | auth[-\s]bypass|authentication[-\s]bypass|privilege[-\s]escalation | Critical | AuthenticationAuthorization | CWE-287
-Cross-Site Scripting | xss|cross[-\s]site[-\s]scripting | Medium | WebSecurity | CWE-79
-Weak Cryptography | weak[-\s]crypto|weak[-\s]cipher|broken[-\s]crypto|md5|sha1\b|des\b|rc4 | Medium | Cryptography | CWE-327
-CVE Reference | cve[-\s]?(\d{4}[-\s]?\d{4,}) | Info | Generic | -
-Security Fix | security[-\s]fix|security[-\s]patch|vulnerability|exploit|malicious|vulnerable|fallthrough | Info | Generic | -
-"""
+    description: str = ""
+    examples: tuple[str, ...] = ()
+
+
+# Name, expression (case is ignored), severity, category, CWE, description, examples.
+BUILTIN = (
+    ("Use After Free", r"\b(use[-\s]after[-\s]free|uaf|dangling[-\s]pointer)\b", "Critical", "MemorySafety", "CWE-416",
+     "Potential use-after-free vulnerability", ("Fix use after free", "UAF vulnerability")),
+    ("Buffer Overflow", r"\b(buffer[-\s]overflow|stack[-\s]overflow|heap[-\s]overflow|bof|ovflw|StackO)\b", "Critical", "MemorySafety", "CWE-120",
+     "Potential buffer overflow vulnerability", ("Fix buffer overflow", "Stack overflow protection")),
+    ("Double Free", r"\b(double[-\s]free|free[-\s]after[-\s]free)\b", "High", "MemorySafety", "CWE-415",
+     "Potential double-free vulnerability", ("Fix double free",)),
+    ("Race Condition", r"\b(race[-\s]condition|data[-\s]race|concurrency[-\s]bug)\b", "High", "Concurrency", "CWE-362",
+     "Potential race condition vulnerability", ("Fix race condition",)),
+    ("Memory Leak", r"\b(memory[-\s]leak|mem[-\s]leak|resource[-\s]leak)\b", "Medium", "MemorySafety", "CWE-401",
+     "Potential memory leak", ("Fix memory leak",)),
+    ("Null Pointer Dereference", r"\b(null[-\s]pointer|nullptr[-\s]dereference|segfault|sigsegv)\b", "Medium", "MemorySafety", "CWE-476",
+     "Potential null pointer dereference", ("Fix null pointer", "Segmentation fault")),
+    ("Code Injection", r"\b(code[-\s]injection|command[-\s]injection|sql[-\s]injection|remote[-\s]code[-\s]execution|rce)\b", "Critical", "CodeInjection", "CWE-94",
+     "Potential code injection vulnerability", ("Fix code injection", "SQL injection")),
+    ("Type confusion", r"\b(type confusion|confused)\b", "Critical", "CodeInjection", "CWE-843",
+     "Access of Resource Using Incompatible Type ('Type Confusion')", ("Fix code injection", "Type confusion")),
+    ("Authentication Bypass", r"\b(auth[-\s]bypass|authentication[-\s]bypass|privilege[-\s]escalation)\b", "Critical", "AuthenticationAuthorization", "CWE-287",
+     "Potential authentication bypass", ("Fix auth bypass",)),
+    ("Cross-Site Scripting", r"\b(xss|cross[-\s]site[-\s]scripting)\b", "Medium", "WebSecurity", "CWE-79",
+     "Potential XSS vulnerability", ("Fix XSS",)),
+    ("Weak Cryptography", r"\b(weak[-\s]crypto|weak[-\s]cipher|broken[-\s]crypto|md5|sha1\b|des\b|rc4)\b", "Medium", "Cryptography", "CWE-327",
+     "Weak cryptographic implementation", ("Replace weak crypto",)),
+    ("CVE Reference", r"\bcve[-\s]?(\d{4}[-\s]?\d{4,})\b", "Info", "Generic", None,
+     "CVE reference found", ("CVE-2021-1234",)),
+    ("Security Fix", r"\b(security[-\s]fix|security[-\s]patch|vulnerability|exploit|malicious|vulnerable|fallthrough)\b", "Info", "Generic", None,
+     "General security-related change", ("Security fix",)),
+)
 # Set -> category; ``all`` takes every pattern and any other name all but the generic ones.
 SETS = {"memorysafety": "MemorySafety", "crypto": "Cryptography", "web": "WebSecurity"}
 
 
 def builtin_patterns() -> list[Pattern]:
-    out = []
-    for i, line in enumerate(_TABLE.strip().splitlines()):
-        name, regex, severity, category, cwe = (part.strip() for part in line.split(" | "))
-        out.append(Pattern(i, name, rf"\b({regex})\b" if name != CVE else rf"\b{regex}\b", severity, category, None if cwe == "-" else cwe))
-    return out
+    return [Pattern(i, *row) for i, row in enumerate(BUILTIN)]
 
 
 def pattern_set(name: str, options: Options = DEFAULT) -> list[Pattern]:
-    """The patterns of a set, custom ones appended; an unknown name gives all that are not generic."""
+    """The patterns of a set, custom ones appended and numbered on; an unknown name gives all that are not generic."""
     chosen = builtin_patterns()
     if name in SETS:
         chosen = [p for p in chosen if p.category == SETS[name]]
     elif name != "all":
         chosen = [p for p in chosen if p.category != "Generic"]
     own = [
-        Pattern(len(_TABLE) + i, c.name, c.pattern, c.severity, c.category, None) for i, c in enumerate(options.custom_patterns)
+        Pattern(len(BUILTIN) + i, c.name, c.pattern, c.severity, c.category, None, c.description) for i, c in enumerate(options.custom_patterns)
     ]
     return chosen + own
 
@@ -99,48 +110,79 @@ def _like(text: Column, regex: str) -> Column:
 def any_match(message: Column, patterns: list[Pattern]) -> Column:
     """Whether any pattern occurs.
 
-    In ASCII text an expression is only tried where the words it needs are found, and on the lower-case text, which an
-    array binds so that it is made once. Other texts are scanned by all expressions at once.
+    An expression is only tried where the words it needs are found in the folded text, which an array binds so that it
+    is made once; ``lower(upper())`` folds at least what an expression that ignores case does. In plain ASCII text it
+    is tried on the folded text.
     """
     if not patterns:
         return F.lit(False)
     text = F.coalesce(message, F.lit(""))
-    whole = F.regexp_like(text, F.lit("(?iuU)" + "|".join(f"(?:{p.regex})" for p in patterns)))
-    words = [needed_words(p.regex) for p in patterns]
-    if not all(words):
-        return whole
+    plain = F.octet_length(text) == F.length(text)
 
-    def quick(low: Column) -> Column:
-        tries = []
-        for p, ways in zip(patterns, words, strict=True):
-            has = _any([reduce(lambda a, b: a & b, (F.contains(low, F.lit(w)) for w in way)) for way in ways])
-            tries.append(has & F.regexp_like(low, F.lit(p.regex.lower())))
-        return _any(tries)
+    def tries(low: Column) -> Column:
+        found = []
+        for p in patterns:
+            ways = needed_words(p.regex)
+            like = F.when(plain, F.regexp_like(low, F.lit(p.regex.lower()))) if ways else F.when(plain, F.regexp_like(text, F.lit(f"(?i){p.regex}")))
+            like = like.otherwise(F.regexp_like(text, F.lit(f"(?iuU){p.regex}")))
+            has = [reduce(lambda a, b: a & b, (F.contains(low, F.lit(w)) for w in way)) for way in ways or []]
+            found.append(_any(has) & like if has else like)
+        return _any(found)
 
-    return F.when(F.octet_length(text) == F.length(text), F.exists(F.array(F.lower(text)), quick)).otherwise(whole)
+    return F.exists(F.array(F.lower(F.upper(text))), tries)
 
 
-def matches(message: Column, patterns: list[Pattern]) -> Column:
-    """Array of structs for the patterns that occur in a message, in their order, with the first text that matches."""
+def hits(message: Column, patterns: list[Pattern]) -> Column:
+    """Array of ``at, text``: the places in ``patterns`` of those that occur in a message, with the first text that matches."""
     text = F.coalesce(message, F.lit(""))
-    cve = [p for p in patterns if p.name == CVE]
-    found = F.regexp_extract(text, f"(?iuU){cve[0].regex}", 1) if cve else F.lit("")
-    references = F.when(found != "", F.array(F.concat(F.lit("CVE-"), found))).otherwise(F.array().cast("array<string>"))
-    rows = []
-    for p in patterns:
-        late = bool(cve) and p.ord >= cve[0].ord
-        row = F.struct(
-            F.lit(p.ord).alias("ord"),
-            F.lit(p.name).alias("pattern_name"),
-            F.regexp_extract(text, f"(?iuU){p.regex}", 0).alias("matched_text"),
-            F.lit(p.severity).alias("severity"),
-            F.lit(p.category).alias("category"),
+    rows = [
+        F.when(_like(text, p.regex), F.struct(F.lit(i).alias("at"), F.regexp_extract(text, f"(?iuU){p.regex}", 0).alias("text")))
+        for i, p in enumerate(patterns)
+    ]
+    return F.filter(F.array(*rows), lambda x: x.isNotNull()) if rows else F.array().cast("array<struct<at:int,text:string>>")
+
+
+def described(found: Column, patterns: list[Pattern]) -> Column:
+    """``hits`` with all that is known of their patterns; nothing is matched again.
+
+    The reference of a CVE goes with its own pattern and those behind it.
+    """
+    if not patterns:
+        return F.array().cast(MATCHES)
+    table = F.array(*(F.struct(F.lit(p.ord).alias("ord"), F.lit(p.name).alias("name"), F.lit(p.severity).alias("severity"), F.lit(p.category).alias("category")) for p in patterns))
+    cve = next((i for i, p in enumerate(patterns) if p.name == CVE), None)
+    none = F.array().cast("array<string>")
+    if cve is None:
+        references = none
+    else:
+        named = F.transform(F.filter(found, lambda m: m["at"] == cve), lambda m: F.concat(F.lit("CVE-"), F.regexp_extract(m["text"], f"(?iuU){patterns[cve].regex}", 1)))
+        references = F.filter(named, lambda x: x != "CVE-")
+
+    def row(m: Column) -> Column:
+        p = F.element_at(table, m["at"] + 1)
+        return F.struct(
+            p["ord"].alias("ord"),
+            p["name"].alias("pattern_name"),
+            m["text"].alias("matched_text"),
+            p["severity"].alias("severity"),
+            p["category"].alias("category"),
             F.lit("commit_message").alias("file_path"),
             F.lit(None).cast("bigint").alias("line_number"),
-            (references if late else F.array().cast("array<string>")).alias("cve_references"),
+            (F.when(m["at"] >= cve, references).otherwise(none) if cve is not None else none).alias("cve_references"),
         )
-        rows.append(F.when(_like(text, p.regex), row))
-    return F.filter(F.array(*rows), lambda x: x.isNotNull())
+
+    return F.transform(found, row)
+
+
+MATCHES = (
+    "array<struct<ord:int,pattern_name:string,matched_text:string,severity:string,category:string,file_path:string,"
+    "line_number:bigint,cve_references:array<string>>>"
+)
+
+
+def matches(message: Column, patterns: list[Pattern]) -> Column:
+    """Array of structs for the patterns that occur in a message, in their order, with the first text that matches."""
+    return described(hits(message, patterns), patterns)
 
 
 def risk_score(matched: Column, files: Column, options: Options = DEFAULT) -> Column:
@@ -151,18 +193,26 @@ def risk_score(matched: Column, files: Column, options: Options = DEFAULT) -> Co
     return F.least(base * F.sqrt(F.coalesce(files, F.lit(0)).cast("double")) * cve, F.lit(10.0))
 
 
+def matched(commits: DataFrame, options: Options = DEFAULT) -> DataFrame:
+    """The commits whose message holds a pattern, with ``hits``; rows are matched where they lie, once."""
+    chosen = pattern_set(options.patterns, options)
+    return commits.where(any_match(F.col("message"), chosen)).withColumn("hits", hits(F.col("message"), chosen))
+
+
 def findings(commits: DataFrame, files: DataFrame, options: Options = DEFAULT) -> DataFrame:
     """One row per commit with a match: its matches, files, risk and CVE references.
 
-    ``commits`` has commit_id, message, author and authored_date, once a commit; ``files`` commit_id and path. Commits
-    without files have a risk of 0. Messages are matched before the join, so only commits with a match are shuffled.
+    ``commits`` has commit_id, message, author and authored_date, once a commit, and ``hits`` if it was ``matched``
+    already; ``files`` commit_id and path. Commits without files have a risk of 0. Messages are matched before the
+    join, so only commits with a match are shuffled.
     """
     chosen = pattern_set(options.patterns, options)
-    hit = commits.where(any_match(F.col("message"), chosen)).withColumn("matches", matches(F.col("message"), chosen))
+    hit = commits if "hits" in commits.columns else matched(commits, options)
     changed = files.groupBy("commit_id").agg(F.array_sort(F.collect_set("path")).alias("files_changed"))
     rows = hit.join(changed, "commit_id", "left").withColumn(
         "files_changed", F.coalesce("files_changed", F.array().cast("array<string>"))
     )
+    rows = rows.withColumn("matches", described(F.col("hits"), chosen))
     references = F.array_distinct(F.flatten(F.transform("matches", lambda m: m["cve_references"])))
     return rows.select(
         "commit_id",

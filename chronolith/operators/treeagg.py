@@ -12,20 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronolith.session import input_chunks
+
 MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
 INIT = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
 
 
-def input_chunks(df: DataFrame) -> int:
-    """The partitions that the plan of ``df`` has, without running any of it: input splits, or those of its last shuffle."""
-    plan = df._jdf.queryExecution().executedPlan()
-    if plan.nodeName() != "AdaptiveSparkPlan":
-        return max(df._jdf.queryExecution().toRdd().getNumPartitions(), 1)
-    # a plan with shuffles runs adaptively; a union of several can have more partitions than it tells
-    last = plan.inputPlan().outputPartitioning().numPartitions()
-    return max(last, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def rounds_for(chunks: int, fan_in: int) -> int:
     """Rounds after which one state is left of so many chunks."""
     rounds = 1

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from chronolith.operators import complexity as cx
 from chronolith.operators import risk as rk
+from chronolith.operators import views as vw
 from chronolith.plans.base import SQL, findings, history, metrics
-from chronolith.sources.manifests import dependency_counts
+from chronolith.sources.manifests import cargo_entries, dependency_analysis, dependency_counts, npm_entries
 from chronolith.sources.tables import table
 
 
@@ -49,7 +50,31 @@ def f6_high_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rf_risk_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cx.risk_factors(metrics(spark, sf_dir))
+    rows = cx.risk_factors(metrics(spark, sf_dir))
+    return rows.withColumn("affected_files", F.array_join("affected_files", "|"))
+
+
+def a15_language_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cx.language_totals(s11_language_stats(spark, sf_dir))
+
+
+def s13_dependency_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What both manifest counters count in every source file and document."""
+    files = table(spark, sf_dir, "source_files").select(F.col("path").alias("name"), F.col("content").alias("text"))
+    texts = table(spark, sf_dir, "documents").select(F.format_string("document %d", "doc_id").alias("name"), "text")
+    text = F.coalesce("text", F.lit(""))
+    return files.unionByName(texts).select("name", cargo_entries(text).alias("cargo"), npm_entries(text).alias("npm"))
+
+
+def a21_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dependency analysis of trees whose manifests are all source files and documents."""
+    counts = s13_dependency_lines(spark, sf_dir).select((F.col("cargo") + F.col("npm")).alias("dependencies"))
+    row = dependency_analysis(counts)
+    return row.select("total_dependencies", *(F.size(c).alias(c) for c in ("outdated_dependencies", "vulnerable_dependencies", "license_issues")))
+
+
+def a22_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vw.extensions(table(spark, sf_dir, "source_files"))
 
 
 def a6_git_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +144,11 @@ _FUNCTION = r"""case when ext = 'rs' then starts_with(t, 'fn ') or contains(t, '
     or contains(t, ' main(') or contains(t, 'void ') or contains(t, 'int ')
   when ext = 'go' then starts_with(t, 'func ') or contains(t, ' func ') when ext = 'rb' then starts_with(t, 'def ') or contains(t, ' def ')
   when ext = 'php' then contains(t, 'function ') else contains(t, 'function ') or contains(t, 'def ') or contains(t, 'fn ') end"""
+_DEPENDENCIES = r"""
+with a as (select path as name, coalesce(content, '') as text from source_files union all select 'document ' || doc_id, coalesce(text, '') from documents),
+n as (select name, len(list_filter(regexp_split_to_array(text, '\r?\n'), lambda x: contains(x, '=') and not starts_with(x, '#'))) as cargo,
+  (length(text) - length(replace(text, '":', ''))) // 2 // 2 as npm from a)
+"""
 _NAMES = ", ".join(f"('{e}', '{n}')" for e, n in cx.LANGUAGES.items())
 _GIT = """(select 2.0 * count(*) filter (authors = 1) / count(*) + 1.5 * count(*) filter (h.last_commit < timestamptz '2026-05-01 00:00:00+00' - interval 365 days) / count(*)
   + greatest(count(*) // 10, 1) / count(*)::double from h)"""
@@ -129,6 +159,7 @@ QUERIES = {
     "s8_analysed_files": s8_analysed_files, "s10_lines": s10_lines, "s11_language_stats": s11_language_stats, "s12_manifests": s12_manifests,
     "a17_cyclomatic": a17_cyclomatic, "a18_cognitive": a18_cognitive, "w2_max_nesting": w2_max_nesting, "a19_functions": a19_functions,
     "m5_maintainability": m5_maintainability, "f6_high_complexity": f6_high_complexity, "rf_risk_factors": rf_risk_factors,
+    "a15_language_totals": a15_language_totals, "s13_dependency_lines": s13_dependency_lines, "a21_dependencies": a21_dependencies, "a22_extensions": a22_extensions,
     "a6_git_risk": a6_git_risk, "a7_code_risk": a7_code_risk, "a8_vuln_risk": a8_vuln_risk, "a9_overall_risk": a9_overall_risk,
 }
 ORACLES = {
@@ -149,8 +180,16 @@ ORACLES = {
     "a19_functions": _LINES + f"""select x.path, count(n.path) as function_count from x left join (select path from t where {_FUNCTION}) n on n.path = x.path
   where x.{_ANALYSED} group by x.path""",
     "f6_high_complexity": _GIVEN + "select path, cyclomatic_complexity from g where cyclomatic_complexity > 10",
-    "rf_risk_factors": _GIVEN + """select path, 'HighComplexity' as factor_type, case when cyclomatic_complexity > 25 then 'High' else 'Medium' end as severity
-  from g where cyclomatic_complexity > 15 union all select path, 'DeepNesting', 'Medium' from g where nesting_depth > 5""",
+    "rf_risk_factors": _GIVEN + """select path, 'HighComplexity' as factor_type, case when cyclomatic_complexity > 25 then 'High' else 'Medium' end as severity,
+  'File ' || path || ' has high cyclomatic complexity (' || regexp_replace(cyclomatic_complexity::varchar, '\\.0$', '') || ')' as description, path as affected_files,
+  'Consider refactoring to reduce complexity' as recommendation from g where cyclomatic_complexity > 15
+  union all select path, 'DeepNesting', 'Medium', 'File ' || path || ' has deep nesting (depth: ' || nesting_depth || ')', path,
+  'Consider extracting nested logic into separate functions' from g where nesting_depth > 5""",
+    "a15_language_totals": _LINES + f"""select cast((select count(*) from t where {_ANALYSED}) as bigint) as total_lines,
+  (select count(*) from x where {_ANALYSED}) as total_files""",
+    "s13_dependency_lines": _DEPENDENCIES + "select * from n",
+    "a21_dependencies": _DEPENDENCIES + "select cast(sum(cargo + npm) as bigint) as total_dependencies, 0 as outdated_dependencies, 0 as vulnerable_dependencies, 0 as license_issues from n",
+    "a22_extensions": _LINES + "select distinct case when regexp_matches(path, '[^/]\\.[^./]*$') then lower(ext) else 'no-ext' end as extension from x",
     "a6_git_risk": SQL + f"select round({_GIT}, 6) as git_risk",
     "a7_code_risk": f"select round({_CODE}, 6) as code_risk",
     "a8_vuln_risk": SQL + f"select round({_VULN}, 6) as vulnerability_risk",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronolith.functions.paths import second
 from chronolith.operators import history as hs
 from chronolith.options import DEFAULT, Options
-from chronolith.plans.base import SQL, author_commits, history, stamp
+from chronolith.plans.base import SQL, SQL_FINDINGS, author_commits, findings_history, history, stamp
 from chronolith.sources.tables import changed_files, commits, table
 
 
@@ -76,6 +76,17 @@ def f1_single_author(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hs.single_author_files(history(spark, sf_dir)).select("path", F.col("any_author").alias("author"))
 
 
+def f1_single_author_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that the given findings changed and that one author alone did."""
+    return hs.single_author_files(findings_history(spark, sf_dir)).select("path", F.col("any_author").alias("author"))
+
+
+def a3_file_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commit list of every file, as rows."""
+    rows = hs.file_commits(commits(spark, sf_dir, "committed_date"), changed_files(spark, sf_dir))
+    return rows.select("path", "commit_id", second(F.col("at")).alias("at"))
+
+
 def f2_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hs.stale_files(history(spark, sf_dir)).select("path", second(F.col("last_commit")).alias("last_commit"))
 
@@ -99,6 +110,7 @@ QUERIES = {
     "s4_newest_commits": s4_newest_commits, "s5_commits": s5_commits, "j1_commit_files": j1_commit_files, "w5_file_cap": w5_file_cap,
     "a1_repo_totals": a1_repo_totals, "a2_author_stats": a2_author_stats, "t1_top_contributors": t1_top_contributors,
     "a3_file_history": a3_file_history, "a3_author_names": a3_author_names, "f1_single_author": f1_single_author, "f2_stale": f2_stale,
+    "f1_single_author_findings": f1_single_author_findings, "a3_file_commits": a3_file_commits,
     "w3_high_churn": w3_high_churn, "w4_recent_commit": w4_recent_commit,
 }
 ORACLES = {
@@ -114,6 +126,8 @@ ORACLES = {
     "a3_file_history": SQL + f"select path, total_changes, authors, {stamp('first_commit')} as first_commit, {stamp('last_commit')} as last_commit from h",
     "a3_author_names": SQL + "select distinct path, author from f join c on f.commit_id = c.commit_id",
     "f1_single_author": SQL + "select path, (select min(author) from f join c on f.commit_id = c.commit_id where f.path = h.path) as author from h where authors = 1",
+    "f1_single_author_findings": SQL_FINDINGS + "select path, author from h where authors = 1",
+    "a3_file_commits": SQL + f"select path, f.commit_id, {stamp('committed_date')} as at from f join c on f.commit_id = c.commit_id",
     "f2_stale": SQL + f"select path, {stamp('last_commit')} as last_commit from h where h.last_commit < {_LIMIT}",
     "w3_high_churn": SQL + "select path, total_changes from (select *, row_number() over (order by total_changes desc, path) as k, count(*) over () as n from h) where k <= greatest(n // 10, 1)",
     "w4_recent_commit": SQL + "select path, recent_commit, ref_recent_commit from h",

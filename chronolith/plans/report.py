@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolith.functions import bands, links
@@ -10,7 +10,7 @@ from chronolith.functions.paths import extension, first_line, second, short_id,
 from chronolith.operators import history as hs
 from chronolith.operators import views as vw
 from chronolith.options import DEFAULT
-from chronolith.plans.base import REMOTE, SQL, findings, history, metrics, stamp
+from chronolith.plans.base import REMOTE, SQL, SQL_FINDINGS, findings, findings_history, history, metrics, stamp
 from chronolith.plans.code import ORACLES as CODE
 from chronolith.sources.tables import changed_files, commits, table
 
@@ -72,7 +72,8 @@ def t3_most_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t5_single_author_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history(spark, sf_dir).where("authors <= 3").select("path", "authors").orderBy("path").limit(20)
+    """The first twenty files, by path, that one author alone changed; every file of the commits has several, so among those of the findings."""
+    return hs.single_author_files(findings_history(spark, sf_dir)).select("path", "authors").orderBy("path").limit(20)
 
 
 def _rounded(rows: DataFrame) -> DataFrame:
@@ -83,6 +84,17 @@ def a13_ext_dist_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(vw.extension_distribution(hs.single_author_files(history(spark, sf_dir))))
 
 
+def a13_ext_dist_single_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(vw.extension_distribution(hs.single_author_files(findings_history(spark, sf_dir))))
+
+
+def w6_finding_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of the priority areas with their zero-based index in the area, by risk and commit."""
+    rows = _area_findings(spark, sf_dir)
+    place = Window.partitionBy("file").orderBy(F.desc(F.round("risk_score", 6)), "commit_id")
+    return rows.select("file", "commit_id", (F.row_number().over(place) - 1).alias("index"))
+
+
 def a13_ext_dist_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(vw.extension_distribution(hs.stale_files(history(spark, sf_dir))))
 
@@ -203,12 +215,24 @@ def _area_sorted(mode: str):
 
 
 def t12_page_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Result counts, pages and the strip of page numbers around page 4 of ten findings each."""
-    rows = findings(spark, sf_dir).agg(F.count(F.lit(1)).alias("total"))
-    total = F.ceil(F.col("total") / 10).cast("int")
-    last = F.least(total, F.greatest(F.lit(1), F.lit(2)) + 4)
-    first = F.greatest(F.lit(1), last - 4)
-    return rows.select("total", total.alias("pages"), F.array_join(F.sequence(first, last), " ").alias("strip"))
+    """Result counts, and for every page of ten findings the strip of page numbers around it."""
+    rows = findings(spark, sf_dir).agg(F.count(F.lit(1)).alias("total")).withColumn("pages", F.ceil(F.col("total") / 10).cast("int"))
+    rows = rows.where("pages > 0").withColumn("page", F.explode(F.sequence(F.lit(1), F.col("pages"))))
+    return rows.select("total", "pages", "page", F.array_join(vw.page_strip(F.col("page"), F.col("pages")), " ").alias("strip"))
+
+
+def t11_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first, the second and a page far too high of the findings by risk, for every page size; 0 stands for all on one page."""
+    rows = findings(spark, sf_dir).select("commit_id", "risk_score")
+    total, order, out = rows.count(), vw.ordering(vw.SORTS, "risk-desc", "commit_id"), None
+    for size in (10, 25, 50, None):
+        last = vw.pages(total, size)
+        for number in (1, 2, 9999):
+            shown = vw.page(rows, order, min(number, last), size).select(
+                F.lit(size or 0).alias("size"), F.lit(last).alias("pages"), F.lit(number).alias("page"), "commit_id"
+            )
+            out = shown if out is None else out.unionByName(shown)
+    return out
 
 
 def a22_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,6 +284,7 @@ QUERIES = {
     "a10_priority_areas": a10_priority_areas, "j3_priority_join": j3_priority_join, "j5_priority_findings": j5_priority_findings,
     "a11_heat_counts": a11_heat_counts, "a12_heat_stats": a12_heat_stats, "j4_heatmap": j4_heatmap, "x3_heat_band": x3_heat_band,
     "t3_most_changed": t3_most_changed, "t5_single_author_top": t5_single_author_top, "a13_ext_dist_single": a13_ext_dist_single,
+    "a13_ext_dist_single_findings": a13_ext_dist_single_findings, "w6_finding_index": w6_finding_index, "t11_pages": t11_pages,
     "a13_ext_dist_stale": a13_ext_dist_stale, "t6_extensions": t6_extensions, "a14_shares": a14_shares, "x1_bands": x1_bands,
     "x5_path_parts": x5_path_parts, "x8_commit_text": x8_commit_text, "x12_base_url": x12_base_url,
     "x13_commit_url": _commit_links(links.commit_url, "commit_url"), "x15_diff_url": _commit_links(links.diff_url, "diff_url"),
@@ -296,7 +321,15 @@ ORACLES = {
   when commit_count <= 20 then 'commits-4' else 'commits-high' end as fixed, case when commit_count <= 5 then 'churn-low' when commit_count <= 15 then 'churn-medium' when commit_count <= 30 then 'churn-high'
   else 'churn-critical' end as churn from n, mx""",
     "t3_most_changed": SQL + _AREA + "select * from n order by commit_count desc, path limit 10",
-    "t5_single_author_top": SQL + "select path, authors from h where authors <= 3 order by path limit 20",
+    "t5_single_author_top": SQL_FINDINGS + "select path, authors from h where authors = 1 order by path limit 20",
+    "a13_ext_dist_single_findings": SQL_FINDINGS + """, z as (select ext, count(*) as n from h join e on h.path = e.path where authors = 1 group by 1)
+  select cast(row_number() over (order by ext is null, n desc, ext) as int) as place, coalesce(ext, 'no extension') as extension, n as count, round(n * 100.0 / sum(n) over (), 6) as percentage from z""",
+    "w6_finding_index": SQL + _AREA + """select fe.file, fe.commit_id, cast(row_number() over (partition by fe.file order by round(fe.risk, 6) desc, fe.commit_id) - 1 as int) as index
+  from fe join tp on fe.file = tp.file""",
+    "t11_pages": SQL + """, q as (select *, row_number() over (order by round(risk, 2) desc, commit_id) as k, count(*) over () as n from r),
+  sz(size) as (values (10), (25), (50), (0)), wp as (select size, cast(case when size = 0 then 1 else (n + size - 1) // size end as int) as pages, n from sz, (select count(*) as n from r))
+  select size, pages, p as page, commit_id from wp, (values (1), (2), (9999)) g(p), q
+  where wp.size = 0 or (k > (least(p, wp.pages) - 1) * wp.size and k <= least(p, wp.pages) * wp.size)""",
     "a13_ext_dist_single": _dist("authors = 1"),
     "a13_ext_dist_stale": _dist(f"h.last_commit < {_LIMIT}"),
     "t6_extensions": f"select * from ({_dist('true')}) where place <= 10",
@@ -319,8 +352,11 @@ ORACLES = {
     "f13_area_search": SQL + _AREA + f"""select distinct tp.file from tp join fe on tp.file = fe.file join c on fe.commit_id = c.commit_id join r on r.commit_id = c.commit_id
   where contains(lower(tp.file), 'lock') or contains(lower({_FIRST} || ' ' || coalesce(author, '') || ' ' || array_to_string(names, ' ')), 'lock')""",
     "a22_authors": SQL + "select distinct lower(author) as author from r join c on r.commit_id = c.commit_id where author is not null",
-    "t12_page_strip": SQL + """, q as (select count(*) as total, cast(ceil(count(*) / 10.0) as int) as pages from r)
-  select total, pages, array_to_string(range(greatest(1, least(pages, 6) - 4), least(pages, 6) + 1), ' ') as strip from q""",
+    "t12_page_strip": SQL + """, q as (select count(*) as total, cast(ceil(count(*) / 10.0) as int) as pages from r),
+  pg as (select total, pages, cast(unnest(range(1, pages + 1)) as int) as page from q),
+  a as (select *, unnest(range(1, pages + 1)) as shown from pg)
+  select total, pages, page, string_agg(shown, ' ' order by shown) as strip from a
+  where shown between page - 2 and page + 2 or (page <= 2 and shown <= 5) or (page > pages - 2 and shown > pages - 5) group by all""",
     **{
         f"t8_sort_{m.replace('-', '_')}": SQL + f"select r.commit_id from r join c on r.commit_id = c.commit_id order by {o}, r.commit_id limit 10 offset 10"
         for m, o in _ORDER.items()

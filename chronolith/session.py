@@ -40,3 +40,19 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="chronolith-checkpoint-"))
     return df.checkpoint()
+
+
+def input_chunks(df: DataFrame) -> int:
+    """The partitions that the plan of ``df`` has, without running any of it: input splits, or those of its last shuffle."""
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.nodeName() != "AdaptiveSparkPlan":
+        return max(df._jdf.queryExecution().toRdd().getNumPartitions(), 1)
+    # a plan with shuffles runs adaptively; a union of several can have more partitions than it tells
+    last = plan.inputPlan().outputPartitioning().numPartitions()
+    return max(last, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many tasks as there are cores if it has fewer splits; for rows that cost far more to work on than to move."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if input_chunks(df) < cores else df

@@ -15,11 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def once(rows: DataFrame, *columns: str) -> DataFrame:
+    """Each ``commit_id`` once with the given columns; ``max`` over their struct keeps the choice the same on every run."""
+    picked = rows.groupBy("commit_id").agg(F.max(F.struct(*columns)).alias("_row"))
+    return picked.select("commit_id", *(F.col("_row")[c].alias(c) for c in columns))
+
+
 def commits(spark: SparkSession, sf_dir: str, *columns: str, where: Column | None = None) -> DataFrame:
     """Each commit once, with ``commit_id`` and the given columns; take only those that are needed, they are shuffled.
 
-    Redelivered rows are unchanged, so any row of a commit stands for it; ``max`` over the struct keeps the choice
-    the same on every run should rows differ. ``where`` filters rows before they are shuffled. A null ``commit_id`` is
+    Redelivered rows are unchanged, so any row of a commit stands for it. ``where`` filters rows before they are shuffled. A null ``commit_id`` is
     no commit and is left out.
     """
     rows = table(spark, sf_dir, "commits").where(F.col("commit_id").isNotNull())
@@ -27,8 +32,7 @@ def commits(spark: SparkSession, sf_dir: str, *columns: str, where: Column | Non
         rows = rows.where(where)
     if not columns:
         return rows.select("commit_id").distinct()
-    picked = rows.groupBy("commit_id").agg(F.max(F.struct(*columns)).alias("_row"))
-    return picked.select("commit_id", *(F.col("_row")[c].alias(c) for c in columns))
+    return once(rows, *columns)
 
 
 def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:

