@@ -11,13 +11,13 @@ from chronolith.llm.mixing import available, capacity, mix, reached, wanted, wat
 from chronolith.llm.provenance import foreign_files
 from chronolith.llm.tokens import token_counts, token_ids
 from chronolith.llm.truncation import score_endings
-from chronolith.session import cut
+from chronolith.session import cut, spread
 from chronolith.sources.tables import table
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
-    return token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return token_ids(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 #: the share of its capacity to which the capped mixture is filled: some sources are clamped there, others not
@@ -25,7 +25,7 @@ FILL = 0.6
 
 
 def _mixed(spark: SparkSession, sf_dir: str, fill: float | None = None) -> DataFrame:
-    sized = cut(token_counts(table(spark, sf_dir, "documents"), ["doc_id", "source"], "text"))
+    sized = cut(token_counts(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), ["doc_id", "source"], "text"))
     return mix(sized, table(spark, sf_dir, "mix_targets"), "doc_id", "source", "n_tokens", fill)
 
 
@@ -63,15 +63,19 @@ def p9_capped_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source", F.col("clamped"), near.alias("met"), (F.col("most_repeats") <= F.col("max_repeats")).alias("within_repeats"))
 
 
+def _endings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose text stops before the writer's end."""
-    return score_endings(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").where("truncated").select("doc_id")
+    return score_endings(_endings(spark, sf_dir), "doc_id", "text", "lang").where("truncated").select("doc_id")
 
 
 def p10_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each source truncates: all documents, those with a text, the truncated ones and their share."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    judged = score_endings(documents, "doc_id", "text", "lang")
+    documents = table(spark, sf_dir, "documents")
+    judged = score_endings(_endings(spark, sf_dir), "doc_id", "text", "lang")
     rows = documents.select("doc_id", "source").join(judged.select("doc_id", "truncated"), "doc_id", "left")
     counts = rows.groupBy("source").agg(
         F.count(F.lit(1)).alias("documents"), F.count("truncated").alias("with_text"), F.count_if("truncated").alias("truncated")
@@ -81,7 +85,7 @@ def p10_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why each source file with content is not hand-written here, what decided, and its metrics; null if it is."""
-    judged = foreign_files(table(spark, sf_dir, "source_files"), "path", "content")
+    judged = foreign_files(spread(table(spark, sf_dir, "source_files").select("path", "content")), "path", "content")
     metrics = table(spark, sf_dir, "file_complexity").groupBy("path").agg(
         F.max("line_count").alias("line_count"), F.max("function_count").alias("function_count")
     )
@@ -89,7 +93,7 @@ def p2_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = foreign_files(table(spark, sf_dir, "source_files"), "path", "content")
+    judged = foreign_files(spread(table(spark, sf_dir, "source_files").select("path", "content")), "path", "content")
     return judged.where("reason is not null").select("path").distinct()
 
 
@@ -99,7 +103,7 @@ def p2_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     An edited copy lacks every 25th line of the file, each copy other ones, and has a line of its own at the end. Per kind of copy: those
     planted, those of 1,000 characters and more, and of these the ones found.
     """
-    files = table(spark, sf_dir, "source_files").where("trim(content) <> ''").select("path", "content")
+    files = spread(table(spark, sf_dir, "source_files").where("trim(content) <> ''").select("path", "content"))
     edited = F.expr("concat(array_join(filter(split(content, '\\n'), (x, i) -> i % 25 <> 8 * (k - 4)), '\n'), '\nlast_', cast(k as string), ' = 1\n')")
     copies = files.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(6)))).select(
         F.format_string("planted-%d/%s", "k", "path").alias("path"), F.when(F.col("k") > 3, edited).otherwise(F.col("content")).alias("content"), (F.col("k") > 3).alias("edited")

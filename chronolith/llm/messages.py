@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from chronolith.llm.neardup import expand, named_classes, near_duplicates
 from chronolith.llm.pii import personal_items, redacted
+from chronolith.session import spread
 from chronolith.sources.tables import commits, table
 
 
 def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     # redelivered commits are unchanged: a key counts once per different text
-    rows = table(spark, sf_dir, "commits").where("commit_id is not null")
+    rows = spread(table(spark, sf_dir, "commits").where("commit_id is not null").select("commit_id", "message"))
     return near_duplicates(rows, "commit_id", "message", words=3, threshold=0.5, min_words=20)
 
 
@@ -37,7 +38,7 @@ PERSONAL = {"message": "text", "author_email": "address"}
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The personal items of every commit's message and address field."""
     # redelivered commits are unchanged: their items fall together when the items are made distinct
-    return personal_items(table(spark, sf_dir, "commits").where("commit_id is not null"), "commit_id", PERSONAL)
+    return personal_items(spread(table(spark, sf_dir, "commits").where("commit_id is not null").select("commit_id", *PERSONAL)), "commit_id", PERSONAL)
 
 
 def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:

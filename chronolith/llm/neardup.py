@@ -190,7 +190,7 @@ def expand(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
     large = large_blocks(members, "class", key)
     inside = block_pairs(members, "class", key, large).toDF("x", "y")
     rows = members.select(F.col(key).alias("y"), F.col("class").alias("b"))
-    near = cells(cut(links.select("a", "b")).withColumnRenamed("a", "class"), members.withColumnRenamed(key, "x"), "class", large, "b", "x")
+    near = cells(links.select(F.col("a").alias("class"), "b"), members.withColumnRenamed(key, "x"), "class", large, "b", "x")
     across = cells(near.select("b", "x"), rows, "b", large.withColumnRenamed("class", "b"), "x", "y")
     pairs = inside.unionByName(across.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
     return pairs.select(F.col("x").alias(f"{key}_a"), F.col("y").alias(f"{key}_b"))
