@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chronolith import schema
 from chronolith.functions import links
+from chronolith.functions.paths import extension
 from chronolith.operators import complexity as cx
 from chronolith.operators import history as hs
 from chronolith.operators import patterns as pt
@@ -19,6 +20,7 @@ from chronolith.options import DEFAULT, Options
 from chronolith.sinks.report import write_report
 from chronolith.sources.files import read_tree
 from chronolith.sources.git import read_git, remote_url
+from chronolith.sources.manifests import dependency_analysis, dependency_counts, read_manifests
 
 
 @dataclass
@@ -28,6 +30,7 @@ class Analysis:
     commits: DataFrame
     file_changes: DataFrame
     source_files: DataFrame | None = None
+    manifests: DataFrame | None = None
     remote: str | None = None
     options: Options = DEFAULT
 
@@ -59,11 +62,19 @@ class Analysis:
             "heatmap": vw.heat_rows(counts, self.history, hs.author_names(self.commits, self.files), self.remote).orderBy(
                 F.desc("commit_count"), "path"
             ),
+            "single_author_files": hs.single_author_files(self.history).select("path", F.col("any_author").alias("author")).orderBy("path").limit(20),
+            "single_author_extensions": vw.extension_distribution(hs.single_author_files(self.history)).orderBy("place"),
+            "stale_extensions": vw.extension_distribution(hs.stale_files(self.history, self.options)).orderBy("place"),
             "tests": spark.createDataFrame([(0, [], [], False, [])], schema.TEST_ANALYSIS),
         }
         if self.metrics is not None:
-            out["stats"] = cx.language_stats(self.source_files)
-            out["code_quality"] = self.metrics.orderBy(F.desc("cyclomatic_complexity"), "path")
+            out["stats"] = cx.language_stats(self.source_files).orderBy("language")
+            out["totals"] = cx.language_totals(out["stats"])
+            named = F.coalesce(extension(F.col("path")), F.lit("no-ext"))
+            out["code_quality"] = self.metrics.withColumn("extension", named).orderBy(F.desc("cyclomatic_complexity"), "path")
+            out["risk_factors"] = cx.risk_factors(self.metrics).orderBy("path", "factor_type")
+        if self.manifests is not None:
+            out["dependencies"] = dependency_analysis(dependency_counts(self.manifests))
         return out
 
 
@@ -74,6 +85,7 @@ def analyse_repository(spark: SparkSession, repo: str, output: str, options: Opt
         read_git(spark, repo, "commits", **limits),
         read_git(spark, repo, "file_changes", **limits),
         read_tree(spark, repo) if options.include_stats else None,
+        read_manifests(spark, repo) if options.include_stats else None,
         remote_url(read_git(spark, repo, "remotes")),
         options,
     )

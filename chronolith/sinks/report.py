@@ -44,11 +44,62 @@ def json_document(tables: dict[str, DataFrame], cve_only: bool = False, include_
 
 
 SECTIONS = {
-    "risk": "Risk", "git": "History", "top_contributors": "Top contributors", "stats": "Statistics", "code_quality": "Code quality", "heatmap": "Heat map",
-    "priority_areas": "Priority areas", "vulnerabilities": "Findings", "tests": "Tests",
+    "risk": "Risk", "git": "History", "top_contributors": "Top contributors", "single_author_files": "Files of one author", "totals": "Totals", "stats": "Statistics",
+    "dependencies": "Dependencies", "risk_factors": "Risk factors", "code_quality": "Code quality", "heatmap": "Heat map",
+    "single_author_extensions": "Extensions of files of one author", "stale_extensions": "Extensions of stale files", "priority_areas": "Priority areas", "vulnerabilities": "Findings", "tests": "Tests",
 }
 #: sections that are shown only with statistics
-STATS_ONLY = {"stats", "code_quality", "heatmap", "tests"}
+STATS_ONLY = {"totals", "stats", "dependencies", "risk_factors", "code_quality", "heatmap", "single_author_extensions", "stale_extensions", "tests"}
+
+
+#: sections that can be searched, sorted and paged: rows of a page at first, and the columns with a drop-down of their values
+PAGED = {"vulnerabilities": (10, ("severity_text", "author")), "code_quality": (50, ("extension",)), "heatmap": (50, ("extension",)), "priority_areas": (25, ())}
+SIZES = (10, 25, 50, 100)
+
+STYLE = (
+    "body{font-family:sans-serif;margin:2em}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:.2em .5em;text-align:left}"
+    "th{cursor:pointer}.tools{margin:.5em 0}.tools>*{margin-right:.5em}"
+)
+SCRIPT = """
+for (const section of document.querySelectorAll('section[data-size]')) {
+  const body = section.querySelector('tbody'), tools = section.querySelector('.tools');
+  if (!body) continue;
+  const rows = [...body.rows], heads = [...section.querySelectorAll('th')], choices = [...tools.querySelectorAll('select[data-column]')];
+  const term = tools.querySelector('input'), size = tools.querySelector('select.size'), strip = tools.querySelector('.strip');
+  const at = name => heads.findIndex(h => h.textContent === name), text = (row, k) => row.cells[k].textContent;
+  let page = 1, order = null, down = false;
+  for (const choice of choices)
+    for (const value of [...new Set(rows.map(r => text(r, at(choice.dataset.column))))].sort()) choice.add(new Option(value || '(none)', '=' + value));
+  const show = () => {
+    const kept = rows.filter(r => r.textContent.toLowerCase().includes(term.value.toLowerCase())
+      && choices.every(c => !c.value || c.value === '=' + text(r, at(c.dataset.column))));
+    if (order !== null) kept.sort((a, b) => {
+      const x = text(a, order), y = text(b, order), numbers = x !== '' && y !== '' && !isNaN(x) && !isNaN(y);
+      return (down ? -1 : 1) * (numbers ? x - y : x.localeCompare(y));
+    });
+    const each = size.value === 'all' ? Math.max(kept.length, 1) : Number(size.value), last = Math.max(1, Math.ceil(kept.length / each));
+    page = Math.min(Math.max(page, 1), last);
+    body.replaceChildren(...kept.slice((page - 1) * each, page * each));
+    const from = Math.max(1, Math.min(page - 2, last - 4));
+    strip.replaceChildren(`${kept.length} rows, page `, ...Array.from({length: Math.min(5, last)}, (_, k) => {
+      const button = document.createElement('button');
+      button.textContent = from + k; button.disabled = from + k === page;
+      button.onclick = () => { page = from + k; show(); };
+      return button;
+    }), ` of ${last}`);
+  };
+  heads.forEach((h, k) => h.onclick = () => { down = order === k && !down; order = k; page = 1; show(); });
+  for (const control of [term, size, ...choices]) control.oninput = () => { page = 1; show(); };
+  show();
+}
+"""
+
+
+def _tools(size: int, choices: tuple[str, ...]) -> str:
+    """The controls of a section; without a script all rows are shown and these do nothing."""
+    sizes = "".join(f"<option{' selected' if n == size else ''}>{n}</option>" for n in SIZES) + "<option>all</option>"
+    lists = "".join(f"<select data-column='{c}'><option value=''>{c}: all</option></select>" for c in choices)
+    return f"<div class='tools'><input type='search' placeholder='Search'>{lists}<select class='size'>{sizes}</select><span class='strip'></span></div>"
 
 
 def _table(rows: Iterator[dict]) -> Iterator[str]:
@@ -65,9 +116,11 @@ def _table(rows: Iterator[dict]) -> Iterator[str]:
 
 
 def html_document(tables: dict[str, DataFrame], cve_only: bool = False, include_stats: bool = False) -> Iterator[str]:
-    """A page with a section per table and all its rows, in parts; findings only if there are any, statistics only if asked for."""
-    style = "body{font-family:sans-serif;margin:2em}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:.2em .5em;text-align:left}"
-    yield f"<!doctype html><html><head><meta charset='utf-8'><title>Report</title><style>{style}</style></head><body>"
+    """A page with a section per table and all its rows, in parts; findings only if there are any, statistics only if asked for.
+
+    Long sections can be searched, filtered, sorted by a click on a column and leafed through in the browser.
+    """
+    yield f"<!doctype html><html><head><meta charset='utf-8'><title>Report</title><style>{STYLE}</style></head><body>"
     for name, title in SECTIONS.items():
         if name not in tables or (name in STATS_ONLY and not include_stats):
             continue
@@ -80,10 +133,12 @@ def html_document(tables: dict[str, DataFrame], cve_only: bool = False, include_
             if first is None:
                 continue
             rows = chain([first], rows)
-        yield f"<section id='{name}'><h2>{title}</h2>"
+        size, choices = PAGED.get(name, (0, ()))
+        choices = tuple(c for c in choices if c in shown.columns)
+        yield f"<section id='{name}'{f' data-size={size}' if size else ''}><h2>{title}</h2>{_tools(size, choices) if size else ''}"
         yield from _table(rows)
         yield "</section>"
-    yield "</body></html>"
+    yield f"<script>{SCRIPT}</script></body></html>"
 
 
 FORMATS: dict[str, Output | Callable[..., str]] = {"html": html_document, "json": json_document}

@@ -5,7 +5,9 @@
 
 Tables are ``commits``, ``file_changes``, ``branches`` and ``remotes``. The ids of the newest ``max_commits`` commits are
 listed once; their metadata and files are read by as many tasks as there are batches of ``batch`` commits, each with
-one git process. Files are those of the first-parent diff; a root commit has none unless ``include_root`` is set.
+one git process. Files are those of the first-parent diff; a root commit has none unless ``include_root`` is set, and a
+commit without any difference has those that ``git show`` names. A batch that fails or takes longer than ``timeout``
+seconds is asked for again commit by commit; a commit that still fails has no files, and nothing else is lost.
 """
 
 from __future__ import annotations
@@ -42,6 +44,7 @@ class GitReader(DataSourceReader):
         self.batch = int(options.get("batch", 2000))
         self.limit = int(options.get("max_commits", 20_000))
         self.files = int(options.get("files_per_commit", 20))
+        self.timeout = int(options.get("timeout", 600))
         self.root = str(options.get("include_root", "false")).lower() == "true"
 
     def partitions(self) -> list[_Batch]:
@@ -64,7 +67,7 @@ class GitReader(DataSourceReader):
         elif self.table == "commits":
             yield from self._commits("\n".join(partition.ids))
         else:
-            yield from self._files("\n".join(partition.ids) + "\n")
+            yield from self._files(partition.ids)
 
     def _commits(self, ids: str) -> Iterator[tuple]:
         text = _git(self.path, "log", "--no-walk=unsorted", "--stdin", f"--format={_FIELDS}", given=ids)
@@ -76,14 +79,33 @@ class GitReader(DataSourceReader):
             authored, committed = (datetime.fromtimestamp(int(t), UTC) for t in (at, ct))
             yield commit, message.rstrip("\n"), author, author_mail, committer, committer_mail, authored, committed, 0, 0, None
 
-    def _files(self, ids: str) -> Iterator[tuple]:
-        flags = ["--root"] if self.root else []
-        text = _git(self.path, "diff-tree", "--stdin", "-r", "-m", "--first-parent", "--name-only", "--format=%x1e%H", "-z", *flags, given=ids)
+    def _named(self, command: list[str], ids: list[str]) -> dict[str, list[str]]:
+        """Commit -> names that a git command tells of it; commits by themselves where it fails on all of them."""
+        try:
+            text = _git(self.path, *command, "--name-only", "--format=%x1e%H", "-z", given="\n".join(ids) + "\n", timeout=self.timeout)
+        except (subprocess.SubprocessError, OSError):
+            if len(ids) == 1:
+                return {}
+            return {c: names for one in ids for c, names in self._named(command, [one]).items()}
+        found = {}
         for record in text.split("\x1e"):
             commit, _, rest = record.partition("\0") if "\0" in record[:50] else record.partition("\n")
-            names = [n.lstrip("\n") for n in rest.split("\0")][: self.files + 1]
-            names = [n for n in names if n][: self.files]
-            yield from ((commit.strip(), i, n) for i, n in enumerate(names))
+            names = (n.lstrip("\n") for n in rest.split("\0"))
+            # a merge is told of once for every parent, the first one first
+            found.setdefault(commit.strip(), [n for n in names if n][: self.files])
+        return found
+
+    def _files(self, ids: list[str]) -> Iterator[tuple]:
+        flags = ["--root"] if self.root else []
+        named = self._named(["diff-tree", "--stdin", "-r", "-m", "--first-parent", "--always", *flags], ids)
+        # commits without a difference to their first parent; a root commit is not one of them
+        empty = [c for c in ids if c in named and not named[c]]
+        rooted = set(_git(self.path, "rev-list", "--max-parents=0", "--stdin", given="\n".join(empty) + "\n").split()) if empty else set()
+        again = [c for c in empty if c not in rooted]
+        if again:
+            named |= self._named(["log", "--no-walk=unsorted", "--stdin", "--cc"], again)
+        for commit in ids:
+            yield from ((commit, i, n) for i, n in enumerate(named.get(commit, [])))
 
 
 class GitSource(DataSource):

@@ -11,8 +11,8 @@ from chronolith.engine import Analysis, analyse_repository, arguments
 from chronolith.options import Options
 from chronolith.sinks.report import format_of, with_extension, write_report, write_tables
 from chronolith.sources.files import read_tree
-from chronolith.sources.git import read_git, remote_url
-from chronolith.sources.manifests import dependency_counts
+from chronolith.sources.git import GitReader, read_git, remote_url
+from chronolith.sources.manifests import dependency_analysis, dependency_counts, read_manifests
 from chronolith.streaming.findings import commits_per_window, once, streaming_findings
 
 
@@ -46,6 +46,58 @@ def test_git_source(spark, repo):
         read_git(spark, str(repo), "tags")
 
 
+def test_a_failing_commit_has_no_files_and_takes_none_with_it(spark, repo):
+    reader = GitReader({"path": str(repo), "table": "file_changes"})
+    second = subprocess.run(["git", "-C", str(repo), "rev-parse", "HEAD"], check=True, capture_output=True, text=True).stdout.strip()
+    assert {n for _, _, n in reader._files([second, "f" * 40])} == {"b é.py", "c.py"}
+    assert list(GitReader({"path": str(repo), "timeout": "0"})._files([second])) == []
+
+
+def test_files_of_merges_and_empty_commits(spark, tmp_path):
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=A", "-c", "user.email=a@x", *a], check=True, capture_output=True, text=True).stdout.strip()
+    git("init", "-q", "-b", "trunk")
+    commits = []
+    for branch, name, text in (("trunk", "a.rs", "1"), ("side", "b.rs", "2"), ("trunk", "c.rs", "3")):
+        if branch == "side" or len(commits) == 2:
+            git("checkout", "-q", *(["-b"] if branch == "side" else []), branch)
+        (tmp_path / name).write_text(text)
+        git("add", ".")
+        git("commit", "-qm", name)
+        commits.append(git("rev-parse", "HEAD"))
+    git("commit", "-q", "--allow-empty", "-m", "nothing")
+    commits.append(git("rev-parse", "HEAD"))
+    git("merge", "-q", "--no-ff", "-m", "merge", "side")
+    commits.append(git("rev-parse", "HEAD"))
+    found = {}
+    for r in read_git(spark, str(tmp_path), "file_changes").collect():
+        found.setdefault(r.commit_id, []).append(r.path)
+    assert found == {commits[1]: ["b.rs"], commits[2]: ["c.rs"], commits[4]: ["b.rs"]}
+
+
+def test_ignored_files(spark, tmp_path):
+    tree = {
+        "src/a.py": 1, "src/__init__.py": 1, "src/gen/x.py": 0, "build/y.py": 0, "deep/build/z.py": 0, "keep.log.py": 1, "src/skip_me.py": 0, "src/skip_but.py": 1,
+        ".hidden/b.py": 0, ".c.py": 0, "docs/one/two/d.py": 0, "docs/e.py": 1, "lib/only.py": 0, "lib/sub/only.py": 1, "t1.py": 0, "t9.py": 1, "note.md": 0,
+    }
+    for path in tree:
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("x = 1\n")
+    (tmp_path / ".gitignore").write_text("# rules\n\nbuild/\nskip_*.py\n!skip_but.py\ndocs/**/d.py\nt[1-5].py\n")
+    (tmp_path / "src" / ".gitignore").write_text("/gen\n")
+    (tmp_path / "lib" / ".ignore").write_text("/only.py\n")
+    got = {r.path: r.content for r in read_tree(spark, str(tmp_path), batch=3).collect()}
+    assert set(got) == {p for p, kept in tree.items() if kept} and set(got.values()) == {"x = 1\n"}
+
+
+def test_dependencies_of_a_tree(spark, tmp_path):
+    (tmp_path / "Cargo.toml").write_text('[package]\nname = "a"\n# x = 1\n  # y = 2\n')
+    (tmp_path / "package.json").write_text('{"a": {"b": "1", "c": "2"}}')
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "Cargo.toml").write_text("z = 1\n")
+    row = dependency_analysis(dependency_counts(read_manifests(spark, str(tmp_path)))).first()
+    assert (row.total_dependencies, row.outdated_dependencies, row.license_issues) == (3, [], [])
+
+
 def test_tree(spark, repo):
     got = {r.path: r.content for r in read_tree(spark, str(repo)).collect()}
     assert got["c.py"] is None
@@ -64,7 +116,11 @@ def test_report(spark, repo, tmp_path, kind):
     assert "Use After Free" in text
     assert where.endswith(kind.lower())
     if kind == "JSON":
-        assert json.loads(text)["risk"][0]["overall_risk"] <= 10
+        report = json.loads(text)
+        assert report["risk"][0]["overall_risk"] <= 10
+        assert report["totals"] == [{"total_lines": 6, "total_files": 3}] and report["dependencies"][0]["total_dependencies"] == 0
+    else:
+        assert "<section id='heatmap' data-size=50>" in text and "<select data-column='extension'>" in text and "id='dependencies'" in text
 
 
 def test_tables_as_json(spark, repo, tmp_path):
