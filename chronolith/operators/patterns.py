@@ -107,12 +107,16 @@ def _like(text: Column, regex: str) -> Column:
     return F.when(plain, F.regexp_like(text, F.lit(f"(?i){regex}"))).otherwise(F.regexp_like(text, F.lit(f"(?iuU){regex}")))
 
 
+#: letters that are the same as ASCII ones to an expression that ignores case, but not in lower case
+FOLDED = ("ſıİ", "sii")
+
+
 def any_match(message: Column, patterns: list[Pattern]) -> Column:
     """Whether any pattern occurs.
 
     An expression is only tried where the words it needs are found in the folded text, which an array binds so that it
-    is made once; ``lower(upper())`` folds at least what an expression that ignores case does. In plain ASCII text it
-    is tried on the folded text.
+    is made once and which folds all that an expression ignoring case does. In plain ASCII text it is tried on the
+    folded text.
     """
     if not patterns:
         return F.lit(False)
@@ -129,7 +133,7 @@ def any_match(message: Column, patterns: list[Pattern]) -> Column:
             found.append(_any(has) & like if has else like)
         return _any(found)
 
-    return F.exists(F.array(F.lower(F.upper(text))), tries)
+    return F.exists(F.array(F.lower(F.translate(text, *FOLDED))), tries)
 
 
 def hits(message: Column, patterns: list[Pattern]) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolith.plans import code, findings, history, hotkeys, report
+from chronolith.plans import code, findings, history, hotkeys, report, roundtrip
 
-MODULES = [findings, history, code, report, hotkeys]
+MODULES = [findings, history, code, report, hotkeys, roundtrip]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -26,10 +26,11 @@ SCHEMAS = {"commits": schema.COMMITS, "file_changes": schema.FILE_CHANGES, "bran
 
 
 def _git(path: str, *arguments: str, given: str | None = None, timeout: int = 600) -> str:
+    # bytes, so that line ends stay as they are
     done = subprocess.run(
-        ["git", "-C", path, "-c", "core.quotePath=false", *arguments], input=given, capture_output=True, text=True, errors="replace", timeout=timeout, check=True
+        ["git", "-C", path, "-c", "core.quotePath=false", *arguments], input=given.encode() if given else None, capture_output=True, timeout=timeout, check=True
     )
-    return done.stdout
+    return done.stdout.decode("utf-8", "replace")
 
 
 class _Batch(InputPartition):

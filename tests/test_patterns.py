@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +42,25 @@ def test_matches(spark):
     assert {r.i: [m.pattern_name for m in r.m] for r in found} == {i: names for i, (_, names) in enumerate(HITS)}
 
 
+ODD = ["ſecurity fix", "MEMORY LEAK", "memory leaK", "ﬁx ußeful Fallthrough", "İ nullptr dereference", "ſha1 and md5", "DOUBLE\u2003FREE", "жuaf", "uafж", "ß RCE", "sİgsegv", "sıgsegv", "", "x" * 5000 + " bof"]
+
+
+def test_the_quick_way_finds_what_the_expressions_find(spark):
+    """Folded words only save work: for every text the same as trying each expression on it."""
+    every = pt.pattern_set("all")
+    rng = random.Random(3)
+    texts = ODD + ["".join(rng.choice([*"abKſß\u2003ı -", "uaf", "use after free", "CVE-2021-1234", "ÉXPLOIT", "exploit"]) for _ in range(12)) for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "message string")
+    got = rows.select("message", pt.any_match(F.col("message"), every).alias("quick"), F.size(pt.hits(F.col("message"), every)).alias("n")).collect()
+    assert all(r.quick == (r.n > 0) for r in got) and 20 < sum(r.quick for r in got) < len(got)
+
+
+def test_custom_patterns_are_numbered_behind_the_built_in_ones():
+    own = Options(patterns="web", custom_patterns=(CustomPattern("A", "a"), CustomPattern("B", "b", "High", description="of b")))
+    assert [(p.ord, p.name) for p in pt.pattern_set("web", own)] == [(9, "Cross-Site Scripting"), (13, "A"), (14, "B")]
+    assert pt.pattern_set("web", own)[-1].description == "of b"
+
+
 def test_sets():
     assert {n: len(pt.pattern_set(n)) for n in ("memorysafety", "crypto", "web", "vuln", "all", "memory")} == {
         "memorysafety": 5, "crypto": 1, "web": 1, "vuln": 11, "all": 13, "memory": 11,
