@@ -32,6 +32,9 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is read from ``spark.checkpoint.dir``. Only a local session may do without it and gets a temporary
     folder; on a cluster such a folder would lie on one machine, so the setting is asked for. Lost executors do not
     lose checkpointed data.
+
+    What Spark takes over from the plan before a checkpoint is dropped: its size, often far too small, which would
+    broadcast large tables, and its constraints, which double with every round of an iteration.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
@@ -39,7 +42,10 @@ def cut(df: DataFrame) -> DataFrame:
         if not shared and context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="chronolith-checkpoint-"))
-    return df.checkpoint()
+    saved = df.checkpoint()
+    rows = saved._jdf.queryExecution().toRdd()
+    plain = saved.sparkSession._jsparkSession.internalCreateDataFrame(rows, saved._jdf.schema(), False)
+    return DataFrame(plain, saved.sparkSession)
 
 
 def input_chunks(df: DataFrame) -> int:
