@@ -81,8 +81,13 @@ def test_nesting_equals_a_loop(spark, files):
 
 def test_risk_factors(spark):
     rows = spark.createDataFrame([("a", 15.0, 6), ("b", 15.5, 5), ("c", 26.0, 9)], "path string, cyclomatic_complexity double, nesting_depth long")
-    got = {tuple(r) for r in cx.risk_factors(rows).collect()}
+    found = cx.risk_factors(rows)
+    got = {tuple(r) for r in found.select("path", "factor_type", "severity").collect()}
     assert got == {("a", "DeepNesting", "Medium"), ("b", "HighComplexity", "Medium"), ("c", "HighComplexity", "High"), ("c", "DeepNesting", "Medium")}
+    words = {(r.path, r.factor_type): r.description for r in found.collect()}
+    assert words["b", "HighComplexity"] == "File b has high cyclomatic complexity (15.5)" and words["c", "HighComplexity"].endswith("(26)")
+    assert words["c", "DeepNesting"] == "File c has deep nesting (depth: 9)"
+    assert all(r.affected_files == [r.path] and r.recommendation for r in found.collect())
 
 
 def test_files_that_the_given_metrics_lack_count_too(spark, tmp_path):
