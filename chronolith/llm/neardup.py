@@ -4,11 +4,14 @@
    works on one representative of each class, so copies cost nothing however many there are.
 2. Each representative gets a sketch. Bands of registers are hashed; representatives that share a band are candidates
    if their sizes allow the threshold. The banding misses a pair at the threshold with a probability of at most 0.3 %,
-   and far less above it.
+   and far less above it. Texts made of the same phrases share a band by chance, and such pairs grow with the square of
+   the table; so a row of a band has one bit of every register with it, and only pairs whose bits agree well enough
+   (five standard errors) leave the join of a band. Bands are worked off in groups, so that few of these rows exist at
+   once; a band of many representatives is cut into parts, and every part meets every other.
 3. A band that very many representatives share (a common passage) would make each of them the candidate of all others.
    Its members are joined exactly by a prefix filter instead: two similar sets share one of their rarest shingles.
-4. A candidate's similarity is estimated jointly from both sketches, for which only sketches are moved; what lies five
-   standard errors below the threshold is dropped.
+4. A candidate's similarity is estimated jointly from both sketches, for which only the sketches of candidates are
+   moved; what lies five standard errors below the threshold is dropped.
 5. The shingles of the pairs that are left are fetched, and the pairs are verified exactly.
 
 All joins of sketches and shingles are told to shuffle: after a checkpoint Spark takes their size from the plan before
@@ -17,6 +20,7 @@ it and would broadcast them.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,14 +28,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.blocks import block_pairs, cells, large_blocks
+from chronolith.llm.blocks import SAMPLED, block_pairs, cells, large_blocks
 from chronolith.llm.setsketch import REGISTERS, band_keys, bands_for, jaccard, sketch
 from chronolith.llm.sizes import small_side
 from chronolith.session import cut
 
 PART = 2_000
+#: a band shared by more classes is cut into parts of this size
+BAND_PART = 4_000
 #: a band shared by more classes is left to the prefix filter
-HOT_BAND = 4_000
+HOT_BAND = 50_000
+#: bands worked off at once, and classes up to which all are
+BANDS, FEW = 16, 50_000
+#: one bit of every register, in columns of 64
+BITS = [f"bits{i}" for i in range(REGISTERS // 64)]
 
 
 def _offsets(lists: pa.Array) -> np.ndarray:
@@ -53,17 +63,46 @@ def _registers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), REGISTERS)
 
 
-def _banded(rows: int, bands: int):
+def _bits(registers: np.ndarray) -> np.ndarray:
+    """The lowest bit of every register, 64 in a column; it is the same for equal registers and else in half the cases."""
+    return np.packbits((registers & 1).astype(np.uint8), axis=1).view(np.int64)
+
+
+def _most_unlike(threshold: float) -> int:
+    """Bits that can differ at the threshold, with five standard errors."""
+    unlike = (1 - threshold) / 2
+    return int(np.ceil(REGISTERS * unlike + 5 * np.sqrt(REGISTERS * unlike * (1 - unlike))))
+
+
+def _hot_bands(sketched: DataFrame, rows: int, bands: int, part: int) -> DataFrame:
+    """``band, _n, _parts`` of the bands with clearly more than ``part`` rows, as ``large_blocks`` has them; rows are picked in Python."""
+    every = SAMPLED if part >= 20 * SAMPLED else 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _banded(rows, range(bands), bits=False)(batches):
+            mixed = (np.asarray(batch.column("band")) ^ np.asarray(batch.column("id"))).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            yield batch.select(["band"]).filter(pa.array((mixed >> np.uint64(40)) % np.uint64(every) == 0))
+
+    counts = sketched.mapInArrow(run, "band long").groupBy("band").agg((F.count(F.lit(1)) * every).alias("_n")).where(F.col("_n") > part)
+    return cut(counts.select("band", "_n", F.ceil(F.col("_n") / part).cast("int").alias("_parts")))
+
+
+def _banded(rows: int, some: range, bits: bool = True):
+    """``id, n, band`` of the bands in ``some``, and with ``bits`` those of the registers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for begin in range(0, whole.num_rows, PART):
                 batch = whole.slice(begin, PART)
-                keys = band_keys(_registers(batch.column("registers")), rows, bands)
+                registers = _registers(batch.column("registers"))
+                keys = band_keys(registers[:, some.start * rows : some.stop * rows], rows, len(some))
                 # the band's number goes into the key
-                keys ^= np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                ids, sizes = (np.repeat(np.asarray(batch.column(c)), bands) for c in ("id", "n"))
+                keys ^= np.arange(some.start, some.stop, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                ids, sizes = (np.repeat(np.asarray(batch.column(c)), len(some)) for c in ("id", "n"))
                 columns = [pa.array(ids), pa.array(sizes), pa.array(keys.ravel().view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "band"])
+                if bits:
+                    columns += [pa.array(np.repeat(c, len(some))) for c in _bits(registers).T]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "band", *(BITS if bits else [])])
 
     return run
 
@@ -121,19 +160,47 @@ def _rare_pairs(sets: DataFrame, threshold: float, part: int) -> DataFrame:
 
 
 def _candidates(sketched: DataFrame, sets: DataFrame, threshold: float, hot_band: int) -> DataFrame:
-    """``a, b`` (``a < b``), each once: classes that share a band, or are joined exactly where a band is too common."""
+    """``a, b`` (``a < b``), each once: classes that share a band and may be similar, or are joined exactly where a band is too common."""
     rows, bands = bands_for(threshold)
-    banded = sketched.mapInArrow(_banded(rows, bands), "id long, n int, band long")
-    hot = large_blocks(banded, "band", "id", hot_band).select("band")
-    some = not hot.isEmpty()
-    hot = small_side(hot)
-    cold = banded.join(hot, "band", "left_anti") if some else banded
-    first, second = cold.toDF("a", "n_a", "band"), cold.toDF("b", "n_b", "band")
-    pairs = first.join(second.hint("merge"), "band").where("a < b").where(_may_reach(threshold)).select("a", "b")
-    if some:
-        members = banded.join(hot, "band", "left_semi").select("id").distinct()
-        pairs = pairs.unionByName(_rare_pairs(cut(sets.join(members.hint("merge"), "id")), threshold, hot_band))
-    return pairs.distinct()
+    part, classes = min(BAND_PART, hot_band), sketched.count()
+    carried = ("n", *BITS)
+    schema = "id long, n int, band long"
+    # no band has more rows than there are classes
+    large = _hot_bands(sketched, rows, bands, part) if classes > part else None
+    large = None if large is None or large.isEmpty() else large
+    hot = None if large is None else cut(large.where(F.col("_n") > hot_band).select("band"))
+    hot = None if hot is None or hot.isEmpty() else hot
+    unlike = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in BITS)
+    alike = f"{_may_reach(threshold)} and {unlike} <= {_most_unlike(threshold)}"
+    group = bands if classes <= FEW else BANDS
+    found = None
+    for begin in range(0, bands, group):
+        some = range(begin, min(begin + group, bands))
+        banded = sketched.mapInArrow(_banded(rows, some), ", ".join([schema, *(f"{c} long" for c in BITS)]))
+        own = banded if large is None else banded.join(small_side(large.select("band")), "band", "left_anti")
+        side = {s: own.select("band", F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in carried)) for s in "ab"}
+        pairs = side["a"].join(side["b"].hint("merge"), "band").where("a < b").where(alike).select("a", "b")
+        if large is not None:
+            wide = large if hot is None else large.join(hot.hint("merge"), "band", "left_anti")
+            index = banded.join(small_side(wide.select("band")), "band", "left_semi")
+            pairs = pairs.unionByName(block_pairs(index, "band", "id", wide, carried).where(alike).select("a", "b"))
+        pairs = cut(pairs.distinct())
+        found = pairs if found is None else found.unionByName(pairs)
+        if group < bands:
+            # files of shuffles are removed when the driver collects its garbage
+            gc.collect()
+            sketched.sparkSession.sparkContext._jvm.System.gc()
+    if hot is not None:
+        members = sketched.mapInArrow(_banded(rows, range(bands), bits=False), schema).join(small_side(hot), "band", "left_semi").select("id").distinct()
+        found = found.unionByName(_rare_pairs(cut(sets.join(members.hint("merge"), "id")), threshold, part))
+    return found.distinct()
+
+
+def _of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of ``rows`` (by ``id``) that are an end of a pair."""
+    ends = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    near = small_side(ends)
+    return rows.join(ends.hint("merge") if near is ends else near, "id")
 
 
 def near_duplicates(
@@ -147,22 +214,24 @@ def near_duplicates(
     two empty tables. ``hot_band`` only says from where on a band is left to the prefix filter.
     """
     hashed = shingle_sets(df, key, text, words, min_words).withColumns({"c1": F.xxhash64("shingles"), "c2": F.xxhash64(F.lit(1), "shingles")})
+    hashed = cut(hashed)
     classes = hashed.groupBy("c1", "c2").agg(F.first("shingles").alias("shingles"))
     # the class id is the first hash; the second one only tells apart what the first one confuses
     sets = cut(classes.select(F.xxhash64("c1", "c2").alias("id"), "shingles"))
+    members = cut(hashed.select(F.col("key").alias(key), F.xxhash64("c1", "c2").alias("class")).distinct())
+    del hashed, classes
     sketched = cut(sets.mapInArrow(_sketched, "id long, n int, registers binary"))
-    side = {s: sketched.toDF(*(f"{c}_{s}" for c in sketched.columns)).hint("merge") for s in "ab"}
-    met = _candidates(sketched, sets, threshold, hot_band)
+    met = cut(_candidates(sketched, sets, threshold, hot_band))
+    asked = _of(sketched, met)
+    side = {s: asked.toDF(*(f"{c}_{s}" for c in sketched.columns)).hint("merge") for s in "ab"}
     met = met.join(side["a"], F.col("a") == F.col("id_a")).join(side["b"], F.col("b") == F.col("id_b"))
     met = met.select("a", "b", "n_a", "n_b", "registers_a", "registers_b").mapInArrow(_likely(threshold), "a long, b long")
     likely = cut(met)
-    wanted = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
-    held = sets.join(wanted.hint("merge"), "id")
+    held = _of(sets, likely)
     held = {s: held.toDF(f"id_{s}", f"shingles_{s}").hint("merge") for s in "ab"}
     full = likely.join(held["a"], F.col("a") == F.col("id_a")).join(held["b"], F.col("b") == F.col("id_b"))
     both = F.size(F.array_intersect("shingles_a", "shingles_b"))
     links = full.select("a", "b", (both / (F.size("shingles_a") + F.size("shingles_b") - both)).alias("similarity"))
-    members = hashed.select(F.col("key").alias(key), F.xxhash64("c1", "c2").alias("class")).distinct()
     return members, links.where(F.col("similarity") >= threshold)
 
 

@@ -68,6 +68,26 @@ def test_common_bands_lose_nothing(spark, hot_band):
     assert got <= want and len(got) >= (1.0 if hot_band == 4 else 0.99) * len(want) and len(want) > 500
 
 
+def test_texts_of_the_same_phrases_are_no_candidates(spark, monkeypatch):
+    """Chance candidates grow with the square of the table: they may not leave the bands, whatever the groups and parts."""
+    rng = random.Random(3)
+    phrases = [" ".join(f"p{k}x{j}" for j in range(6)) for k in range(6)]
+    texts = [" ".join(w for k in rng.sample(range(6), 3) for w in (phrases[k], *(rng.choice(WORDS) for _ in range(9)))) for _ in range(700)]
+    texts += [t.replace("w1 ", "w2 ") + " end" for t in texts[:20]]
+    df = spark.createDataFrame([(f"k{i:04}", t) for i, t in enumerate(texts)], "key string, text string").repartition(4)
+    sets = {f"k{i:04}": shingles(t, 3) for i, t in enumerate(texts)}
+    want = {(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])}
+    moved = []
+    candidates = nd._candidates
+    monkeypatch.setattr(nd, "_candidates", lambda *x: moved.append(nd.cut(candidates(*x))) or moved[-1])
+    for few, part in ((50_000, 4_000), (10, 4_000), (10, 5)):
+        monkeypatch.setattr(nd, "FEW", few)
+        monkeypatch.setattr(nd, "BAND_PART", part)
+        members, links = nd.near_duplicates(df, "key", "text", 3, 0.5, 20)
+        assert {(r.key_a, r.key_b) for r in nd.expand(members, links, "key").collect()} == want and len(want) >= 20
+        assert moved[-1].count() <= len(want) + 20
+
+
 def test_classes_are_named_by_their_smallest_key(spark):
     base = [f"w{k}" for k in range(60)]
     texts = {"d": base, "b": base, "c": [*base, "end"], "a": [f"x{k}" for k in range(30)]}
