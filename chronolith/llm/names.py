@@ -17,6 +17,7 @@ an initial alone is accepted only where just one given name of the whole family
 from __future__ import annotations
 
 import json
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -53,7 +54,7 @@ SHOWN = 2
 TOGETHER = 0.3
 #: a name with a smaller share of the families of a name one letter apart is a slip of that one
 SLIPS = 0.05
-#: given names of a family that says anything about forms
+#: given names of a family up to which two of them are not held against chance
 MOST_GIVEN = 30
 #: full name -> all its forms, for every name a row can hold
 Lexicon = dict[str, dict[str, list[str]]]
@@ -422,14 +423,51 @@ def _without_slips(names: DataFrame) -> DataFrame:
     return names.join(met.select(F.col("slip").alias("word")).distinct().hint("merge"), "word", "left_anti")
 
 
+def _together(beside: DataFrame, names: DataFrame) -> DataFrame:
+    """``short, full`` (one of ``names``): given names that ``TOGETHER`` of the families (``word, family``) of the rarer one share.
+
+    Every family counts. In families of at most ``MOST_GIVEN`` given names two that meet are counted as they are, if not
+    one partner of a name is expected to be met as often by chance. A large family has many pairs by chance, so over all
+    families it is the surplus beyond chance that has to make up the share, and it must be so large that not one pair of
+    the table is expected to reach it; there, chance is taken times how much more often the short name meets others than
+    by chance. Chance is what the numbers of families of both and the sizes of these families give. Families of many
+    given names are worked off part by part.
+    """
+    sizes = cut(beside.groupBy("family").agg(F.count(F.lit(1)).alias("n")))
+    # the family of one given name has no pair
+    informed = cut(attach(beside, sizes.where("n > 1"), "family", "n", beside.count()))
+    stats = informed.groupBy("word").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("n") - 1).alias("load"), F.count_if(F.col("n") <= MOST_GIVEN).alias("few")
+    )
+    stats = cut(stats)
+    words, rows = stats.count(), informed.count()
+    if not rows:
+        return stats.select(F.col("word").alias("short"), F.col("word").alias("full"))
+    # what meets in SHOWN families is in as many
+    often = cut(informed.join(stats.where(F.col("n") >= SHOWN).select("word").hint("merge"), "word"))
+    fulls = often.join(names.select("word").hint("merge"), "word", "left_semi").select(F.col("word").alias("full"), "family")
+    met = cells(often.toDF("short", "family", "size"), fulls, "family", large_blocks(often, "family", "word"), "short", "full")
+    met = met.where("length(short) < length(full)").groupBy("short", "full")
+    met = met.agg(F.count(F.lit(1)).alias("both"), F.count_if(F.col("size") <= MOST_GIVEN).alias("near"))
+    side = {s: stats.toDF(s, f"n_{s}", f"load_{s}", f"few_{s}").hint("merge") for s in ("short", "full")}
+    met = met.join(side["short"], "short").join(side["full"], "full")
+    met = cut(met.withColumn("chance", F.greatest(F.col("load_short") * F.col("n_full"), F.col("load_full") * F.col("n_short")) / rows))
+    lift = met.groupBy("short").agg(F.greatest(F.sum("both") / F.sum("chance"), F.lit(1.0)).alias("lift"))
+    met = met.where(F.col("both") >= SHOWN).join(lift.hint("merge"), "short").withColumn("raised", F.col("chance") * F.col("lift"))
+    # Chernoff's bound of a Poisson variable's tail, for every partner of a word and for every pair of words
+    surprise = {c: F.when(F.col("both") > F.col(c), F.col("both") * (F.ln(F.col("both") / F.col(c)) - 1) + F.col(c)).otherwise(0.0) for c in ("chance", "raised")}
+    sure = (F.col("both") - F.col("raised") >= TOGETHER * F.least("n_short", "n_full")) & (surprise["raised"] >= 2 * math.log(words))
+    plain = (F.col("near") >= SHOWN) & (F.col("near") >= TOGETHER * F.least("few_short", "few_full")) & (surprise["chance"] >= math.log(words))
+    return met.where(plain | sure).select("short", "full")
+
+
 def lexicon(source: DataFrame) -> DataFrame:
     """``word, fulls`` (full name -> all its forms) of the given names that the table (``name, email``) shows.
 
     A word is a given name if it is one beside ``SHOWN`` different family names at least, and more often than it is a
     family name. Two names are forms of one if addresses say so in ``SHOWN`` families, or if ``TOGETHER`` of the
-    families of the rarer one have the other as well; of two forms the longer is the full name. Families of more than
-    ``MOST_GIVEN`` given names say nothing about which of them belong to one person. What is shuffled are the different
-    (word, name beside it).
+    families of the rarer one have the other as well (``_together``); of two forms the longer is the full name. What is
+    shuffled are the different (word, name beside it), and pairs of these inside a family.
     """
     shown = cut(source.mapInPandas(_shown, "kind string, word string, other string, beside string").distinct())
     votes = shown.where("kind in ('given', 'family')").groupBy("word").agg(
@@ -439,13 +477,7 @@ def lexicon(source: DataFrame) -> DataFrame:
     written = shown.where("kind = 'forms'").groupBy("word", "other").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SHOWN)
     written = written.toDF("short", "full", "n").unionByName(written.toDF("full", "short", "n")).where("length(short) <= length(full)").select("short", "full")
     beside = shown.where("kind = 'beside'").select("word", F.col("beside").alias("family"))
-    small = beside.groupBy("family").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") <= MOST_GIVEN)).select("family")
-    informed = cut(beside.join(small.hint("merge"), "family"))
-    both = informed.toDF("short", "family").join(informed.toDF("full", "family").hint("merge"), "family").where("length(short) < length(full)")
-    both = both.groupBy("short", "full").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SHOWN)
-    alone = informed.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    both = both.join(alone.toDF("short", "n_short").hint("merge"), "short").join(alone.toDF("full", "n_full").hint("merge"), "full")
-    pairs = written.unionByName(both.where(F.col("both") >= TOGETHER * F.least("n_short", "n_full")).select("short", "full"))
+    pairs = written.unionByName(_together(beside, names))
     pairs = pairs.distinct().join(names.toDF("full", "n_full").hint("merge"), "full").join(names.toDF("short", "n_short").hint("merge"), "short", "left")
     # of two names of one length the more frequent is the full one
     pairs = pairs.where("length(short) < length(full) or coalesce(n_short, 0) < n_full").select("full", "short")

@@ -9,6 +9,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from chronolith.llm import blocks as bl
 from chronolith.llm import cooccurrence as co
 from chronolith.llm import names as nm
 from chronolith.llm import sizes
@@ -196,6 +197,25 @@ def test_a_lexicon_of_any_size_gives_the_same(spark, monkeypatch, most):
     assert _linked(spark, rows) == {(1, 2), (1, 3), (2, 3)}
 
 
+def test_forms_are_learned_from_large_families_too(spark, monkeypatch):
+    """All families have more given names than ``MOST_GIVEN``; a giant one and chance make no forms."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    given = sorted({word(rng.randrange(5, 9)) for _ in range(300)})
+    rows = []
+    for k in range(150):
+        family = word(10)
+        own = given if k == 0 else rng.sample(given, 45)
+        own = [*own, *(["zacharius"] if k % 3 == 0 else []), *(["zeke"] if k % 3 == 0 and k % 4 else [])]
+        rows += [(f"{g.title()} {family.title()}", f"{g[0]}{family}@corp.example") for g in own]
+    df = spark.createDataFrame(rows, "name string, email string")
+    for part in (bl.PART, 20):
+        monkeypatch.setattr(nm, "large_blocks", lambda *x, part=part: bl.large_blocks(*x, part))
+        words = {r.word: dict(r.fulls) for r in nm.lexicon(df).collect()}
+        assert words["zeke"] == words["zacharius"] == {"zacharius": ["zacharius", "zeke"]}
+        assert len(words) > 250 and all(list(fulls) == [w] for w, fulls in words.items() if w != "zeke")
+
+
 def test_an_initial_that_fits_two_people_links_neither(spark):
     rows = [(1, "Rebecca Ulvoc", "rebecca@ulvoc.example"), (2, "Robert Ulvoc", "robert@ulvoc.example"), (3, "R. Ulvoc", "ru@x.example")]
     assert _linked(spark, rows) == set()
