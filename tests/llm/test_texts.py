@@ -250,6 +250,17 @@ def test_truncation(spark, monkeypatch, sample):
     assert tr.score_endings(df.limit(0), "doc_id", "text", "lang").count() == 0
 
 
+def test_all_texts_are_counted_whatever_the_passes(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(k, " ".join(rng.choice(SENTENCES).format(rng.choice(NAMES), rng.choice(NAMES)) for _ in range(3))[: rng.choice([40, 90, 999])], "en") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    scored = []
+    for sample in (tr.SAMPLE, 400):
+        monkeypatch.setattr(tr, "SAMPLE", sample)
+        scored.append({r.doc_id: (r.verdict, round(r.log_odds, 9), r.truncated) for r in tr.score_endings(df, "doc_id", "text", "lang").collect()})
+    assert scored[0] == scored[1] and len(scored[0]) == 300
+
+
 def test_a_stop_that_never_closes_anything_is_a_cut(spark):
     rng = random.Random(8)
     lines = ["Die Werte sind klein, z. B. bei null, wie hier.", "Er prüft alles, z. B. die Länge.", "Das ist gut.", "Wir warten auf den Lauf."]
